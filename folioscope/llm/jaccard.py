@@ -120,7 +120,7 @@ def _fold(x: np.ndarray, n_bytes: int) -> np.ndarray:
 
 def _hamming_filter(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sketches may belong to sets of similarity 3/4: Hamming distance <= (na + nb) / 7."""
-    slim = reps.select("key", "n", "sketch")
+    slim = reps.select("rep", "n", "sketch")
     rows = pairs.join(slim.toDF("a", "na", "sa"), "a").join(slim.toDF("b", "nb", "sb"), "b")
     rows = rows.where("100 * least(na, nb) >= 75 * greatest(na, nb)").select("a", "b", "na", "nb", "sa", "sb")
 
@@ -138,28 +138,28 @@ def _hamming_filter(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, pairs.select("a", "b").schema)
 
 
+def _sized(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A table of a few numbers a row, broadcast if it has at most so many rows (32 MB), else joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def _sets_of(docs: DataFrame, text: str, id_col: str, width: int) -> DataFrame:
-    schema = "key binary, items binary"
+    """(rep, items): the sorted shingle hashes of each row's text."""
+    schema = T.StructType([T.StructField("rep", docs.schema[id_col].dataType), T.StructField("items", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(w, width) for w in batch_words(batch.column(0), SPACE_WORDS)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "items"])
-
-    return docs.select(text).mapInArrow(run, schema)
-
-
-def _verify(pairs: DataFrame, docs: DataFrame, members: DataFrame, text: str, id_col: str, width: int, threshold: tuple[int, int]) -> DataFrame:
-    """Of pairs (a, b) of classes those that link exactly. Sets are made anew for the classes in question alone."""
-    wanted = stage(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct())
-    rep = stage(members.join(wanted, "key").select("key", "rep"))
-    n = rep.count()
-    ids = rep.select(F.col("rep").alias(id_col), F.lit(True).alias("_hit"))
-    small = F.broadcast(ids) if n <= 1_000_000 else ids  # 16 MB at most; beyond, documents are shuffled by id
-    texts = docs.select(id_col, text).join(small, id_col, "left_semi")
-    # a representative's id may repeat with other texts; the key of the set tells which is meant
-    sets = _sets_of(texts, text, id_col, width).join(wanted, "key", "left_semi").groupBy("key").agg(F.first("items").alias("items"))
-    sets = stage(sets)
+            sets = [shingle_set(w, width) for w in batch_words(batch.column(1), SPACE_WORDS)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "items"])
+
+    return docs.select(id_col, text).mapInArrow(run, schema)
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, text: str, id_col: str, width: int, threshold: tuple[int, int]) -> DataFrame:
+    """Of pairs (a, b) those that link exactly. Sets are made anew, for the texts in question alone."""
+    wanted = stage(pairs.select(F.col("a").alias(id_col)).union(pairs.select(F.col("b").alias(id_col))).distinct())
+    texts = docs.select(id_col, text).join(_sized(wanted), id_col, "left_semi")
+    sets = stage(_sets_of(texts, text, id_col, width))
     rows = pairs.join(sets.toDF("a", "ia"), "a").join(sets.toDF("b", "ib"), "b").select("a", "b", "ia", "ib")
     num, den = threshold
 
@@ -172,7 +172,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, members: DataFrame, text: str, id
                 keep.append(den * common >= num * (len(p) + len(q) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return rows.mapInArrow(run, pairs.select("a", "b").schema)
+    return rows.mapInArrow(run, pairs.select("a", "b").schema).distinct()
 
 
 def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, parts: int = 24, group: int = 32, levels: int = 3) -> DataFrame:
@@ -185,42 +185,42 @@ def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int
     a third common signature. What is still large after that is compared in full: no group is capped or sampled.
 
     Null and empty texts have no shingles, link with nothing and are components of their own. Ties don't matter:
-    component_id is the smallest id. Repeated rows fall into one class; a null id stays null unless linked.
+    component_id is the smallest id. Repeated rows fall into one class, and rows of one id are one document, so that its
+    texts' links join; rows with a null id link only with equal sets.
     An empty table gives no rows; further columns are ignored.
     """
-    spark = docs.sparkSession
-    prepare(spark)
+    prepare(docs.sparkSession)
     base = stage(sketches(docs, text, id_col, width, parts).withColumnRenamed(id_col, "rep"))
     rows = base.select("rep", "key", "n")
     reps = stage(base.where("key is not null").groupBy("key").agg(F.min("rep").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("sigs").alias("sigs")))
-    known = reps.where("rep is not null").select("key", "rep")
-    flat = reps.select("key", F.explode("sigs").alias("sig"))
-    multi = flat.groupBy("sig").agg(F.min("key").alias("lead"), F.max("key").alias("last")).where("lead != last").select("sig", "lead")
-    stars = stage(flat.join(multi, "sig"))
-    verify = lambda p: _verify(stage(_hamming_filter(p, reps)), docs, known, text, id_col, width, (75, 100))
-    links = stage(verify(stars.where("key != lead").select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct()))
+    known = reps.where("rep is not null")
+    flat = known.select("rep", F.explode("sigs").alias("sig"))
+    multi = stage(flat.groupBy("sig").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead != last").select("sig", "lead"))
+    stars = stage(flat.join(_sized(multi), "sig"))
+    check = lambda p: stage(_verify(stage(_hamming_filter(p, known)), docs, text, id_col, width, (75, 100)))
+    links = check(stars.where("rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct())
     comps = stage(components(links))
 
-    groups = stars.select("sig", "key")
-    more = None
+    groups, more = stars.select("sig", "rep"), None
     for level in range(levels):
-        named = groups.join(comps, groups["key"] == comps["node"], "left").select("sig", "key", F.coalesce("comp", "key").alias("comp"))
+        named = groups.join(comps, groups["rep"] == comps["node"], "left").select("sig", "rep", F.coalesce("comp", "rep").alias("comp"))
         open_ = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo != hi").select("sig", "size")
         named = stage(named.join(open_, "sig"))
         now = named if level == levels - 1 else named.where(F.col("size") <= group)
-        x, y = now.select("sig", F.col("key").alias("a"), F.col("comp").alias("ca")), now.select("sig", F.col("key").alias("b"), F.col("comp").alias("cb"))
+        x, y = now.select("sig", F.col("rep").alias("a"), F.col("comp").alias("ca")), now.select("sig", F.col("rep").alias("b"), F.col("comp").alias("cb"))
         pairs = x.join(y, "sig").where("a < b and ca != cb").select("a", "b").distinct()
         more = pairs if more is None else more.unionByName(pairs)
-        hot = named.where(F.col("size") > group)
+        hot = named.where(F.col("size") > group).select("rep", "sig")
         if level == levels - 1 or hot.isEmpty():
             break
-        again = hot.select("key", "sig").join(reps.select("key", F.explode("sigs").alias("sig2")), "key").where("sig != sig2")
-        groups = again.select(F.xxhash64(F.least("sig", "sig2"), F.greatest("sig", "sig2")).alias("sig"), "key").distinct() if level == 0 else again.select(F.xxhash64("sig", "sig2").alias("sig"), "key").distinct()
-    extra = stage(verify(stage(more.distinct())))
+        own = known.select("rep", "sigs").join(_sized(hot.select("rep").distinct()), "rep", "left_semi").select("rep", F.explode("sigs").alias("sig2"))
+        again = hot.join(own, "rep").where("sig != sig2")
+        new = F.xxhash64(F.least("sig", "sig2"), F.greatest("sig", "sig2")) if level == 0 else F.xxhash64("sig", "sig2")
+        groups = again.select(new.alias("sig"), "rep").distinct()
+    extra = check(more.distinct())
     if not extra.isEmpty():
         comps = stage(components(links.unionByName(extra)))
-    least = reps.select("key", "rep").join(comps, reps["key"] == comps["node"], "left").select("key", "rep", F.coalesce("comp", "key").alias("comp"))
-    least = least.join(least.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("key", "component_id")
+    least = reps.select("key", "rep").join(comps, reps["rep"] == comps["node"], "left").select("key", F.coalesce("comp", "rep").alias("component_id"))
     out = rows.join(least, "key", "left")
     return out.select(F.col("rep").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep").alias("component_id"), F.col("key").alias("class_key"))
 
