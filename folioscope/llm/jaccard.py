@@ -175,14 +175,51 @@ def _verify(pairs: DataFrame, docs: DataFrame, text: str, id_col: str, width: in
     return rows.mapInArrow(run, pairs.select("a", "b").schema).distinct()
 
 
-def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, parts: int = 24, group: int = 32, levels: int = 3) -> DataFrame:
+def _rare_prefixes(sets: DataFrame, bits: int = 20) -> DataFrame:
+    """(rep, items) -> (sig, rep): of each set the rarest quarter of its shingles and one more.
+
+    With one order for all, two sets of similarity 3/4 have one of these in common. The order is by frequency among
+    these sets, counted over all of them in 2 ** bits hashed cells, which is a bounded table whatever the data.
+    """
+    def cells(items: np.ndarray) -> np.ndarray:
+        return (mix(items) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                np.add.at(total, cells(np.frombuffer(x.as_buffer(), np.uint64)), 1)
+        hit = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], names=["cell", "n"])
+
+    grams = sets.select("items").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(1 << bits, np.int64)
+    table[grams["cell"].to_numpy()] = grams["n"].to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, sigs = [], []
+            for i, x in enumerate(batch.column(1)):
+                items = np.frombuffer(x.as_buffer(), np.uint64)
+                take = len(items) - -(-3 * len(items) // 4) + 1
+                best = items[np.lexsort((items, shared.value[cells(items)]))[:take]] if len(items) else items
+                rows.append(np.full(len(best), i))
+                sigs.append(best.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), batch.column(0).take(pa.array(np.concatenate(rows)))], names=["sig", "rep"])
+
+    return sets.mapInArrow(run, T.StructType([T.StructField("sig", T.LongType()), sets.schema["rep"]]))
+
+
+def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, parts: int = 24, group: int = 32, stars: int = 2) -> DataFrame:
     """Rows (id, n_shingles, component_id, class_key): connected components of links with similarity >= 0.75.
 
     Equal sets are one class, found by grouping on the set's 128-bit key; links are sought between classes only.
-    First, every class meets the smallest class of each group of one signature (a star, so a group of any size costs
-    its own length). Groups left with more than one component have all pairs of different components compared if they
-    are small; larger ones, such as those of a passage that very many texts share, are split by requiring a second and
-    a third common signature. What is still large after that is compared in full: no group is capped or sampled.
+    First, `stars` times, every class meets one class of each group of a common signature, drawn anew each time (a
+    star, so a group of any size costs its own length); groups whose classes are all of one component are done. Groups
+    left open have all pairs of different components compared if they are small. The classes of larger ones, such as
+    those of a passage that very many texts share, meet anew in the groups of their rarest shingles (exact by the prefix
+    principle), where the same steps end with all pairs: no group is capped or sampled.
 
     Null and empty texts have no shingles, link with nothing and are components of their own. Ties don't matter:
     component_id is the smallest id. Repeated rows fall into one class, and rows of one id are one document, so that its
@@ -195,28 +232,48 @@ def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int
     reps = stage(base.where("key is not null").groupBy("key").agg(F.min("rep").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("sigs").alias("sigs")))
     known = reps.where("rep is not null")
     flat = known.select("rep", F.explode("sigs").alias("sig"))
-    multi = stage(flat.groupBy("sig").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead != last").select("sig", "lead"))
-    stars = stage(flat.join(_sized(multi), "sig"))
+    multi = stage(flat.groupBy("sig").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead != last").select("sig"))
+    groups = stage(flat.join(_sized(multi), "sig"))
     check = lambda p: stage(_verify(stage(_hamming_filter(p, known)), docs, text, id_col, width, (75, 100)))
-    links = check(stars.where("rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct())
-    comps = stage(components(links))
-
-    groups, more = stars.select("sig", "rep"), None
-    for level in range(levels):
-        named = groups.join(comps, groups["rep"] == comps["node"], "left").select("sig", "rep", F.coalesce("comp", "rep").alias("comp"))
-        open_ = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo != hi").select("sig", "size")
-        named = stage(named.join(open_, "sig"))
-        now = named if level == levels - 1 else named.where(F.col("size") <= group)
-        x, y = now.select("sig", F.col("rep").alias("a"), F.col("comp").alias("ca")), now.select("sig", F.col("rep").alias("b"), F.col("comp").alias("cb"))
-        pairs = x.join(y, "sig").where("a < b and ca != cb").select("a", "b").distinct()
-        more = pairs if more is None else more.unionByName(pairs)
-        hot = named.where(F.col("size") > group).select("rep", "sig")
-        if level == levels - 1 or hot.isEmpty():
+
+    def open_groups(groups: DataFrame, comps: DataFrame | None) -> DataFrame:
+        """(sig, rep, comp, size, lead) of groups with more than one component; lead is one row, drawn anew each time."""
+        named = groups.withColumn("comp", F.col("rep")) if comps is None else groups.join(comps, groups["rep"] == comps["node"], "left").select("sig", "rep", F.coalesce("comp", "rep").alias("comp"))
+        drawn = F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(turn))).alias("lead")
+        summed = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), drawn)
+        return stage(named.join(summed.where("lo != hi").select("sig", "size", "lead"), "sig"))
+
+    links, comps = None, None
+    for turn in range(stars):
+        now = open_groups(groups, comps)
+        groups = now.select("sig", "rep")
+        pairs = now.where("comp != lead.comp").select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct()
+        new = check(pairs)
+        links = new if links is None else links.unionByName(new)
+        if turn and new.isEmpty():
             break
-        own = known.select("rep", "sigs").join(_sized(hot.select("rep").distinct()), "rep", "left_semi").select("rep", F.explode("sigs").alias("sig2"))
-        again = hot.join(own, "rep").where("sig != sig2")
-        new = F.xxhash64(F.least("sig", "sig2"), F.greatest("sig", "sig2")) if level == 0 else F.xxhash64("sig", "sig2")
-        groups = again.select(new.alias("sig"), "rep").distinct()
+        comps = stage(components(links))
+
+    def all_pairs(named: DataFrame) -> DataFrame:
+        sized = named.select("sig", "rep", "comp").join(known.select("rep", "n"), "rep")
+        x, y = sized.toDF("a", "sig", "ca", "na"), sized.toDF("b", "sig", "cb", "nb")
+        return x.join(y, "sig").where("a < b and ca != cb and 100 * least(na, nb) >= 75 * greatest(na, nb)").select("a", "b").distinct()
+
+    turn = stars
+    named = open_groups(groups, comps)
+    more = all_pairs(named.where(F.col("size") <= group))
+    crowd = stage(named.where(F.col("size") > group).select(F.col("rep").alias(id_col)).distinct())
+    if not crowd.isEmpty():
+        rare = stage(_rare_prefixes(stage(_sets_of(docs.select(id_col, text).join(_sized(crowd), id_col, "left_semi"), text, id_col, width))))
+        for turn in range(stars + 1, 2 * stars + 1):
+            now = open_groups(rare, comps)
+            rare = now.select("sig", "rep")
+            new = check(now.where("comp != lead.comp").select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct())
+            links = links.unionByName(new)
+            if new.isEmpty():
+                break
+            comps = stage(components(links))
+        more = more.unionByName(all_pairs(open_groups(rare, comps)))
     extra = check(more.distinct())
     if not extra.isEmpty():
         comps = stage(components(links.unionByName(extra)))
