@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_WORDS, batch_words, mix, prepare, stage
+from .common import SPACE_WORDS, batch_words, mix, prepare, release, stage
 from .components import components
 
 SKETCH_SCHEMA = "key binary, n long, sketch binary, sigs array<long>"
@@ -211,7 +211,7 @@ def _rare_prefixes(sets: DataFrame, bits: int = 20) -> DataFrame:
     return sets.mapInArrow(run, T.StructType([T.StructField("sig", T.LongType()), sets.schema["rep"]]))
 
 
-def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, parts: int = 24, group: int = 32, stars: int = 2) -> DataFrame:
+def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, parts: int = 24, group: int = 6, stars: int = 2) -> DataFrame:
     """Rows (id, n_shingles, component_id, class_key): connected components of links with similarity >= 0.75.
 
     Equal sets are one class, found by grouping on the set's 128-bit key; links are sought between classes only.
@@ -253,6 +253,7 @@ def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int
         if turn and new.isEmpty():
             break
         comps = stage(components(links))
+        release(docs.sparkSession)
 
     def all_pairs(named: DataFrame) -> DataFrame:
         sized = named.select("sig", "rep", "comp").join(known.select("rep", "n"), "rep")
@@ -261,7 +262,7 @@ def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int
 
     turn = stars
     named = open_groups(groups, comps)
-    more = all_pairs(named.where(F.col("size") <= group))
+    more = stage(all_pairs(named.where(F.col("size") <= group)))
     crowd = stage(named.where(F.col("size") > group).select(F.col("rep").alias(id_col)).distinct())
     if not crowd.isEmpty():
         rare = stage(_rare_prefixes(stage(_sets_of(docs.select(id_col, text).join(_sized(crowd), id_col, "left_semi"), text, id_col, width))))
@@ -273,8 +274,10 @@ def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int
             if new.isEmpty():
                 break
             comps = stage(components(links))
-        more = more.unionByName(all_pairs(open_groups(rare, comps)))
+            release(docs.sparkSession)
+        more = more.unionByName(stage(all_pairs(open_groups(rare, comps))))
     extra = check(more.distinct())
+    release(docs.sparkSession)
     if not extra.isEmpty():
         comps = stage(components(links.unionByName(extra)))
     least = reps.select("key", "rep").join(comps, reps["rep"] == comps["node"], "left").select("key", F.coalesce("comp", "rep").alias("component_id"))
