@@ -99,7 +99,7 @@ def shuffled_stream(sizes: DataFrame, seed: str, buckets: int) -> DataFrame:
     return a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.part") == F.col("b.part"))).select("a.*", (F.col("own") + F.col("before")).alias("lo"))
 
 
-def mix(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, block_tokens: int = 4096, seed: str = "mix", rows_per_bucket: int = 20_000) -> DataFrame:
+def mix(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, block_tokens: int = 4096, seed: str = "mix", rows_per_bucket: int = 2_000) -> DataFrame:
     """(doc_id, source, size) -> (doc_id, source, size, source_size, target, taken).
 
     Each source's rows, shuffled, are a stream of tokens that is read at most `most` times; the schedule's slots cut
