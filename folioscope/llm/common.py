@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_STAGED = [0]
 
 
 def prepare(spark: SparkSession) -> None:
@@ -43,7 +44,12 @@ def prepare(spark: SparkSession) -> None:
 def stage(df: DataFrame) -> DataFrame:
     """Writes df once to the shared checkpoint folder and reads it from there: cut lineage that outlives executors."""
     prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    _STAGED[0] += 1
+    if _STAGED[0] % 3 == 0:
+        del df
+        release(out.sparkSession)
+    return out
 
 
 def release(spark: SparkSession) -> None:

@@ -138,6 +138,41 @@ def _hamming_filter(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, pairs.select("a", "b").schema)
 
 
+def _pairs_in_groups(rows: DataFrame) -> DataFrame:
+    """(sig, rep, comp, n, sketch) -> pairs (a, b) of one group and different components that pass the sketch filter.
+
+    A group's rows come in the order of size, and only those within 4/3 of the current one are held. Pairs are
+    compared where they are, in blocks, and nothing but those that pass is written.
+    """
+    ordered = rows.select("sig", "n", "rep", "comp", "sketch").repartition("sig").sortWithinPartitions("sig", "n", "rep")
+    schema = T.StructType([T.StructField("a", rows.schema["rep"].dataType), T.StructField("b", rows.schema["rep"].dataType)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sig, held = None, []
+        for batch in batches:
+            a, b = [], []
+            for s, n, rep, comp, x in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if s != sig:
+                    sig, held = s, []
+                w = np.frombuffer(x, np.uint64)
+                if held and 100 * held[0][0] < 75 * n:
+                    held = [h for h in held if 100 * h[0] >= 75 * n]
+                for length in {len(h[3]) for h in held}:  # two at most: a band and the one before
+                    own = [h for h in held if len(h[3]) == length and h[2] != comp]
+                    if own:
+                        k = min(length, len(w))
+                        block = np.bitwise_xor.reduce(np.stack([h[3] for h in own]).reshape(len(own), -1, k), axis=1)
+                        d = np.bitwise_count(block ^ _fold(w, k)).sum(1, dtype=np.int64)
+                        for i in np.flatnonzero(7 * d <= n + np.array([h[0] for h in own])):
+                            a.append(min(own[i][1], rep))
+                            b.append(max(own[i][1], rep))
+                held.append((n, rep, comp, w))
+            kind = batch.schema.field(2).type
+            yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
+
+    return ordered.mapInArrow(run, schema)
+
+
 def _sized(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """A table of a few numbers a row, broadcast if it has at most so many rows (32 MB), else joined by a shuffle."""
     return F.broadcast(df) if df.count() <= rows else df
@@ -211,7 +246,7 @@ def _rare_prefixes(sets: DataFrame, bits: int = 20) -> DataFrame:
     return sets.mapInArrow(run, T.StructType([T.StructField("sig", T.LongType()), sets.schema["rep"]]))
 
 
-def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, parts: int = 24, group: int = 6, stars: int = 2) -> DataFrame:
+def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, parts: int = 24, group: int = 32, stars: int = 1) -> DataFrame:
     """Rows (id, n_shingles, component_id, class_key): connected components of links with similarity >= 0.75.
 
     Equal sets are one class, found by grouping on the set's 128-bit key; links are sought between classes only.
@@ -256,13 +291,11 @@ def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int
         release(docs.sparkSession)
 
     def all_pairs(named: DataFrame) -> DataFrame:
-        sized = named.select("sig", "rep", "comp").join(known.select("rep", "n"), "rep")
-        x, y = sized.toDF("a", "sig", "ca", "na"), sized.toDF("b", "sig", "cb", "nb")
-        return x.join(y, "sig").where("a < b and ca != cb and 100 * least(na, nb) >= 75 * greatest(na, nb)").select("a", "b").distinct()
+        return stage(_pairs_in_groups(named.select("sig", "rep", "comp").join(known.select("rep", "n", "sketch"), "rep")).distinct())
 
     turn = stars
     named = open_groups(groups, comps)
-    more = stage(all_pairs(named.where(F.col("size") <= group)))
+    more = all_pairs(named.where(F.col("size") <= group))
     crowd = stage(named.where(F.col("size") > group).select(F.col("rep").alias(id_col)).distinct())
     if not crowd.isEmpty():
         rare = stage(_rare_prefixes(stage(_sets_of(docs.select(id_col, text).join(_sized(crowd), id_col, "left_semi"), text, id_col, width))))
@@ -275,8 +308,8 @@ def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int
                 break
             comps = stage(components(links))
             release(docs.sparkSession)
-        more = more.unionByName(stage(all_pairs(open_groups(rare, comps))))
-    extra = check(more.distinct())
+        more = more.unionByName(all_pairs(open_groups(rare, comps)))
+    extra = stage(_verify(stage(more.distinct()), docs, text, id_col, width, (75, 100)))
     release(docs.sparkSession)
     if not extra.isEmpty():
         comps = stage(components(links.unionByName(extra)))
