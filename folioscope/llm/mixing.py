@@ -38,7 +38,7 @@ def targets(totals: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: fl
         named.withColumn("cap_before", F.coalesce(F.sum("cap").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
         .withColumn("weight_left", F.sum("weight").over(fill.rowsBetween(0, Window.unboundedFollowing)))
         .withColumn("level", level)
-        .withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything))
+        .withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything))
         .withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))))
         .select("source", "source_size", "weight", "target")
     )
@@ -148,7 +148,7 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
 f AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS cap_before,
   sum(weight) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_left, 1.5::DOUBLE * (sum(source_size) OVER ()) AS total FROM w),
-l AS (SELECT min((total - cap_before) / weight_left) AS level FROM f WHERE (total - cap_before) / weight_left * weight <= cap),
+l AS (SELECT max((total - cap_before) / weight_left) AS level FROM f WHERE (total - cap_before) / weight_left * weight <= cap),
 t AS (SELECT source, source_size, least(cap, coalesce(level * weight, cap)) AS target FROM f CROSS JOIN l),
 p AS (SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '') || 'mix'), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS lo FROM d)
 SELECT p.doc_id, p.size, t.source_size, t.target,
