@@ -59,9 +59,9 @@ def set_key(items: np.ndarray) -> bytes:
 
 
 def sketch_bits(n: int) -> int:
-    """Length of the filter sketch of sets of the band of n: a power of two from twice the band's size on."""
+    """Length of the filter sketch of sets of the band of n: a power of two from twice the band's size on, 512 at least."""
     lo = int(_BANDS[np.searchsorted(_BANDS, n, "right") - 1])
-    return max(64, 1 << (2 * lo - 1).bit_length())
+    return max(512, 1 << (2 * lo - 1).bit_length())
 
 
 def filter_sketch(items: np.ndarray, bits: int) -> np.ndarray:
@@ -139,22 +139,24 @@ def _hamming_filter(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _pairs_in_groups(rows: DataFrame) -> DataFrame:
-    """(sig, rep, comp, n, sketch) -> pairs (a, b) of one group and different components that pass the sketch filter.
+    """(sig, rep, comp, n, sketch, own) -> pairs (a, b) of one group and different components that pass the sketch filter.
+
+    A pair that meets in several groups is written in the one of the smallest signature.
 
     A group's rows come in the order of size, and only those within 4/3 of the current one are held. Pairs are
     compared where they are, in blocks, and nothing but those that pass is written.
     """
-    ordered = rows.select("sig", "n", "rep", "comp", "sketch").repartition("sig").sortWithinPartitions("sig", "n", "rep")
+    ordered = rows.select("sig", "n", "rep", "comp", "sketch", "own").repartition("sig").sortWithinPartitions("sig", "n", "rep")
     schema = T.StructType([T.StructField("a", rows.schema["rep"].dataType), T.StructField("b", rows.schema["rep"].dataType)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig, held = None, []
         for batch in batches:
             a, b = [], []
-            for s, n, rep, comp, x in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for s, n, rep, comp, x, y in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if s != sig:
                     sig, held = s, []
-                w = np.frombuffer(x, np.uint64)
+                w, y = np.frombuffer(x, np.uint64), frozenset(y)
                 if held and 100 * held[0][0] < 75 * n:
                     held = [h for h in held if 100 * h[0] >= 75 * n]
                 for length in {len(h[3]) for h in held}:  # two at most: a band and the one before
@@ -164,9 +166,10 @@ def _pairs_in_groups(rows: DataFrame) -> DataFrame:
                         block = np.bitwise_xor.reduce(np.stack([h[3] for h in own]).reshape(len(own), -1, k), axis=1)
                         d = np.bitwise_count(block ^ _fold(w, k)).sum(1, dtype=np.int64)
                         for i in np.flatnonzero(7 * d <= n + np.array([h[0] for h in own])):
-                            a.append(min(own[i][1], rep))
-                            b.append(max(own[i][1], rep))
-                held.append((n, rep, comp, w))
+                            if min(own[i][4] & y) == s:
+                                a.append(min(own[i][1], rep))
+                                b.append(max(own[i][1], rep))
+                held.append((n, rep, comp, w, y))
             kind = batch.schema.field(2).type
             yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
 
@@ -291,7 +294,8 @@ def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int
         release(docs.sparkSession)
 
     def all_pairs(named: DataFrame) -> DataFrame:
-        return stage(_pairs_in_groups(named.select("sig", "rep", "comp").join(known.select("rep", "n", "sketch"), "rep")).distinct())
+        own = named.groupBy("rep").agg(F.collect_set("sig").alias("own"))  # of a set, its signatures in open groups
+        return stage(_pairs_in_groups(named.select("sig", "rep", "comp").join(own, "rep").join(known.select("rep", "n", "sketch"), "rep")).distinct())
 
     turn = stars
     named = open_groups(groups, comps)
