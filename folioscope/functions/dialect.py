@@ -9,6 +9,10 @@ FORMS = {
     "TOKENS": ("filter(split(lower($1), '[^a-z0-9]+'), t -> t <> '')", "list_filter(regexp_split_to_array(lower($1), '[^a-z0-9]+'), lambda t: t <> '')"),
     "RR": ("regexp_replace($1, $2, $3)", "regexp_replace($1, $2, $3, 'g')"),
     "DOT": ("round(aggregate(zip_with($1, $2, (x, y) -> cast(x AS DOUBLE) * y), cast(0 AS DOUBLE), (s, v) -> s + v), 6)", "round(list_dot_product($1::DOUBLE[], $2::DOUBLE[]), 6)"),
+    "VADD": ("zip_with($1, $2, (x, y) -> cast(x AS DOUBLE) + y)", "list_transform(list_zip($1, $2), lambda z: z[1]::DOUBLE + z[2])"),
+    "PAT": ("r$1", "$1"),
+    "FOUND": ("regexp_extract_all($1, $2, 0)", "regexp_extract_all($1, $2)"),
+    "SHA": ("sha2($1, 256)", "sha256($1)"),
     "SIZE": ("size($1)", "len($1)"),
     "COMMON": ("size(array_intersect($1, $2))", "len(list_intersect($1, $2))"),
     "EITHER": ("size(array_union($1, $2))", "len(list_distinct(list_concat($1, $2)))"),

@@ -16,7 +16,7 @@ from folioscope.functions.dialect import render
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 #: Stages whose rows several readers need: kept in memory or on disk while the query runs.
-KEPT = {"blocks", "chunks", "tok", "tf", "term_stats", "bm25_all", "bm25", "dense", "fused", "qvec", "pvec", "edges", "gold_pages"}
+KEPT = {"blocks", "chunks", "tok", "tf", "term_stats", "bm25_all", "bm25", "dense", "fused", "qvec", "pvec", "edges", "gold_pages", "ranked", "base", "seeds", "alias_hits", "vec", "patches"}
 
 _LINES = (
     "SELECT doc_id, lang, cast(pos AS BIGINT) AS ord, trim(col) AS text FROM {documents} LATERAL VIEW posexplode(split(text, '\\n')) AS pos, col",
@@ -39,7 +39,7 @@ STAGES: dict[str, str | tuple[str, str]] = {
       FROM (SELECT *, CASE WHEN length(text) <= 40 THEN CASE WHEN row_number() OVER (PARTITION BY doc_id, length(text) <= 40 ORDER BY ord) = 1 THEN 'Title' ELSE 'Header' END
         WHEN ord % 5 = 4 THEN 'Caption' ELSE 'Paragraph' END AS block_type FROM {lines} WHERE text <> '') b""",
     # H5
-    "chunks": """SELECT chunk_id, doc_id, page, text, section FROM (SELECT PAGE_ID[doc_id; page] AS chunk_id, doc_id, page, ORDERED[text; ord; ' '] AS text,
+    "chunks": """SELECT chunk_id, doc_id, page, text, section FROM (SELECT PAGE_ID[doc_id; page] AS chunk_id, doc_id, page, ORDERED[text; ord; chr(10)] AS text,
         min(CASE WHEN block_type IN ('Title', 'Header') THEN ord END) AS section FROM {blocks} GROUP BY doc_id, page) c WHERE length(text) >= 20""",
     "queries": "SELECT item_id AS query_id, lower(text) AS question, FIRST_N[TOKENS[text]; 12] AS terms FROM {benchmark}",
     "tok": _TOK,
@@ -99,6 +99,41 @@ STAGES: dict[str, str | tuple[str, str]] = {
         CASE WHEN greatest(length(gold_n), length(pred_n)) = 0 THEN 1.0 WHEN LEV[gold_n; pred_n] < 0.5 * greatest(length(gold_n), length(pred_n)) THEN round(1 - REAL[LEV[gold_n; pred_n]] / greatest(length(gold_n), length(pred_n)), 6) ELSE 0.0 END AS anls
       FROM (SELECT id, hops, kind, sys, trim(RR[RR[translate(lower(gold), '!"#$%&()*+,-./:;<=>?@^_`|~', ''); '(^| )(a|an|the)( |$)'; ' ']; ' +'; ' ']) AS gold_n, trim(RR[RR[translate(lower(pred), '!"#$%&()*+,-./:;<=>?@^_`|~', ''); '(^| )(a|an|the)( |$)'; ' ']; ' +'; ' ']) AS pred_n
         FROM (SELECT id, hops, kind, gold, 'a' AS sys, a AS pred FROM {predictions} UNION ALL SELECT id, hops, kind, gold, 'b', b FROM {predictions}) u) n""",
+    # H1/H2: a heading's parent is the latest earlier heading of a smaller depth
+    "headings": "SELECT doc_id, ord, text, CASE WHEN block_type = 'Title' THEN 0 ELSE least(dense_rank() OVER (PARTITION BY doc_id, block_type ORDER BY length(text) % 7 DESC) - 1, 4) + 1 END AS depth FROM {blocks} WHERE block_type IN ('Title', 'Header')",
+    "parents": "SELECT h.doc_id, h.ord, h.text, h.depth, max(p.ord) AS parent FROM {headings} h LEFT JOIN {headings} p ON p.doc_id = h.doc_id AND p.ord < h.ord AND p.depth < h.depth GROUP BY h.doc_id, h.ord, h.text, h.depth",
+    # V1/V5: entities are named by the first one and two words of a benchmark item
+    "aliases": """SELECT entity, alias, lead, parts FROM (SELECT 'e' || TEXT[query_id] AS entity, JOINED[FIRST_N[terms; 2]; ' '] AS alias, JOINED[FIRST_N[terms; 1]; ' '] AS lead, 2 AS parts FROM {queries} WHERE SIZE[terms] > 1
+        UNION ALL SELECT 'e' || TEXT[query_id], JOINED[FIRST_N[terms; 1]; ' '], JOINED[FIRST_N[terms; 1]; ' '], 1 FROM {queries} WHERE SIZE[terms] > 0) a WHERE length(alias) >= 3""",
+    "chunk_norm": "SELECT chunk_id, doc_id, page, ' ' || JOINED[TOKENS[text]; ' '] || ' ' AS norm FROM {chunks}",
+    "query_norm": "SELECT query_id, ' ' || JOINED[terms; ' '] || ' ' AS norm FROM {queries}",
+    "alias_hits": "SELECT a.entity, a.alias, a.parts, c.chunk_id, c.doc_id, c.page, t.tf FROM {aliases} a JOIN {tf} t ON t.term = a.lead JOIN {chunk_norm} c ON c.chunk_id = t.chunk_id WHERE HAS[c.norm; ' ' || a.alias || ' ']",
+    "alias_df": "SELECT alias, count(DISTINCT doc_id) AS df FROM {alias_hits} GROUP BY alias",
+    "grounded": "SELECT entity, chunk_id, doc_id, page, max(tf) AS n FROM {alias_hits} GROUP BY entity, chunk_id, doc_id, page",
+    "matched": """SELECT query_id, entity, alias, LONG[n] AS n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY parts DESC, length(alias) DESC, df, entity) AS n FROM
+        (SELECT q.query_id, a.entity, a.alias, a.parts, coalesce(f.df, 0) AS df, row_number() OVER (PARTITION BY q.query_id, a.entity ORDER BY a.parts DESC, length(a.alias) DESC) AS own
+         FROM (SELECT DISTINCT query_id, term FROM {qtok}) k JOIN {aliases} a ON a.lead = k.term JOIN {query_norm} q ON q.query_id = k.query_id AND HAS[q.norm; ' ' || a.alias || ' '] LEFT JOIN {alias_df} f ON f.alias = a.alias
+         WHERE coalesce(f.df, 0) <= 10) x WHERE own = 1) y WHERE n <= 2""",
+    # V6
+    "alias_pages": """SELECT query_id, chunk_id, count(*) AS votes FROM (SELECT m.query_id, g.chunk_id, row_number() OVER (PARTITION BY m.query_id, m.entity ORDER BY g.n DESC, g.chunk_id) AS n FROM {matched} m JOIN {grounded} g ON g.entity = m.entity
+        JOIN (SELECT DISTINCT query_id, doc_id FROM {seeds}) d ON d.query_id = m.query_id AND d.doc_id = g.doc_id LEFT JOIN {seeds} s ON s.query_id = m.query_id AND s.chunk_id = g.chunk_id WHERE s.chunk_id IS NULL) x WHERE n <= 2 GROUP BY query_id, chunk_id""",
+    # V8/V9: pages outside the base pool by their dense score, on the pool's scale
+    "outside": """SELECT a.query_id, a.chunk_id, a.votes, DOT[q.v; p.v] AS sim, b.lo, b.hi FROM {alias_pages} a JOIN {qvec} q ON q.query_id = a.query_id JOIN {pvec} p ON p.chunk_id = a.chunk_id
+        JOIN (SELECT DISTINCT query_id, lo, hi FROM {base}) b ON b.query_id = a.query_id LEFT JOIN {fused} f ON f.query_id = a.query_id AND f.chunk_id = a.chunk_id WHERE f.chunk_id IS NULL""",
+    # Four vectors a page, three a query
+    "patches": """SELECT r.chunk_id, p.p, v.embedding AS v FROM (SELECT chunk_id, row_number() OVER (ORDER BY chunk_id) - 1 AS nth FROM {chunks}) r CROSS JOIN {nvec} n CROSS JOIN (SELECT 0 AS p UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) p
+        JOIN {vec} v ON v.nth = (r.nth + p.p) % n.n""",
+    "qpatches": "SELECT b.item_id AS query_id, t.t, v.embedding AS v FROM {benchmark} b CROSS JOIN {nvec} n CROSS JOIN (SELECT 0 AS t UNION ALL SELECT 1 UNION ALL SELECT 2) t JOIN {vec} v ON v.nth = (b.item_id + t.t) % n.n",
+    "page_mean": "SELECT x.chunk_id, VADD[VADD[x.v; y.v]; VADD[z.v; w.v]] AS v FROM {patches} x JOIN {patches} y ON y.chunk_id = x.chunk_id AND y.p = 1 JOIN {patches} z ON z.chunk_id = x.chunk_id AND z.p = 2 JOIN {patches} w ON w.chunk_id = x.chunk_id AND w.p = 3 WHERE x.p = 0",
+    "query_mean": "SELECT x.query_id, VADD[VADD[x.v; y.v]; z.v] AS v FROM {qpatches} x JOIN {qpatches} y ON y.query_id = x.query_id AND y.t = 1 JOIN {qpatches} z ON z.query_id = x.query_id AND z.t = 2 WHERE x.t = 0",
+    "pooled": "SELECT query_id, chunk_id FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) AS n FROM (SELECT q.query_id, p.chunk_id, DOT[q.v; p.v] AS sim FROM {query_mean} q CROSS JOIN {page_mean} p) s) r WHERE n <= 200",
+    "maxsim": """SELECT query_id, chunk_id, round(sum(best), 6) AS score FROM (SELECT c.query_id, c.chunk_id, q.t, max(DOT[q.v; p.v]) AS best FROM {pooled} c JOIN {qpatches} q ON q.query_id = c.query_id JOIN {patches} p ON p.chunk_id = c.chunk_id
+        GROUP BY c.query_id, c.chunk_id, q.t) b GROUP BY query_id, chunk_id""",
+    # Rare entities of a page, at most twenty
+    "page_entities": """SELECT chunk_id, entity FROM (SELECT g.chunk_id, g.entity, row_number() OVER (PARTITION BY g.chunk_id ORDER BY g.entity) AS n FROM {grounded} g JOIN (SELECT entity FROM {grounded} GROUP BY entity HAVING count(*) <= 500) k ON k.entity = g.entity) x WHERE n <= 20""",
+    # Every third assertion is visual, every seventh is not grounded
+    "claims": "SELECT id, subject, predicate, object, CASE WHEN id % 3 = 0 THEN 'visual' ELSE 'text' END AS modality, id % 7 <> 0 AS grounded, REAL[0.9] AS confidence FROM {assertions}",
+    "claim_text": "SELECT s.id, ORDERED[p.p_name; s.line; ' '] AS source FROM (SELECT l_orderkey AS id, l_linenumber AS line, l_partkey FROM {lineitem}) s JOIN {part} p ON p.p_partkey = s.l_partkey WHERE s.id % 5 <> 0 GROUP BY s.id",
 }
 
 _REF = re.compile(r"\{(\w+)\}")
