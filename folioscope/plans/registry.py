@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import expansion, stages
+from . import expansion, folds, stages
 
 #: Predicate aliases, alias then canonical name.
 PREDICATES = {"1_urgent": "urgent", "2_high": "high", "3_medium": "medium", "4_not_specified": "unspecified", "5_low": "low"}
@@ -67,5 +67,5 @@ TEXTS: dict[str, str | tuple[str, str]] = {
 
 TEXTS |= expansion.TEXTS
 
-QUERIES = {name: stages.query(sql) for name, sql in TEXTS.items()}
+QUERIES = {name: stages.query(sql) for name, sql in TEXTS.items()} | folds.QUERIES
 SQL = {name: stages.oracle(sql) for name, sql in TEXTS.items()}

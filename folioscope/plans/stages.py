@@ -16,7 +16,7 @@ from folioscope.functions.dialect import render
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 #: Stages whose rows several readers need: kept in memory or on disk while the query runs.
-KEPT = {"blocks", "chunks", "tok", "tf", "term_stats", "bm25_all", "bm25", "dense", "fused", "qvec", "pvec", "edges", "gold_pages", "ranked", "base", "seeds", "alias_hits", "vec", "patches"}
+KEPT = {"blocks", "chunks", "tok", "tf", "term_stats", "bm25_all", "bm25", "dense", "fused", "qvec", "pvec", "edges", "gold_pages", "ranked", "base", "seeds", "alias_hits", "vec", "patches", "alias_pages", "outside", "local"}
 
 _LINES = (
     "SELECT doc_id, lang, cast(pos AS BIGINT) AS ord, trim(col) AS text FROM {documents} LATERAL VIEW posexplode(split(text, '\\n')) AS pos, col",

@@ -9,7 +9,7 @@ from folioscope.functions.dialect import render
 from folioscope.plans import registry
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["text_normalize", "unit_normalize", "think_strip", "page_chunks", "doc_card", "bm25_topk", "dense_topk", "hybrid_topk", "kg_edges", "qa_metrics", "breakdown", "agent_novelty"]
+QUICK = ["text_normalize", "unit_normalize", "think_strip", "page_chunks", "doc_card", "bm25_topk", "dense_topk", "hybrid_topk", "kg_edges", "qa_metrics", "breakdown", "agent_novelty", "ocr_clean", "heading_parent", "section_path", "alias_match", "qc_filter", "visual_filter", "number_extract", "visual_query_split"]
 
 
 def rows(frame):
