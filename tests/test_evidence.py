@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from folioscope.functions.dialect import render
@@ -14,7 +15,7 @@ QUICK = ["text_normalize", "unit_normalize", "think_strip", "page_chunks", "doc_
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    return sorted(tuple(round(float(x), 6) if isinstance(x, (int, float)) or hasattr(x, "dtype") else str(x) for x in r) for r in frame.itertuples(index=False))
+    return sorted((tuple('null' if pd.isna(x) else round(float(x), 6) if isinstance(x, (int, float)) or hasattr(x, "dtype") else str(x) for x in r) for r in frame.itertuples(index=False)), key=str)
 
 
 @pytest.fixture(scope="module")
