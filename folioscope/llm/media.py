@@ -1,7 +1,8 @@
 """Media columns: local image descriptors find cropped or edited copies.
 
 Corners at several scales get binary descriptors turned to their own orientation. Descriptors meet in tables of bit
-sampled Hamming blocks, and pairs of images with enough matches that agree on one scale and shift are copies.
+sampled Hamming blocks, two neighbours at a time, and pairs of images with enough matches that agree on one scale and
+shift are copies.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, stage
+from .common import mix, prepare, stage
 from .components import components
 
 BITS = 128
@@ -132,24 +133,33 @@ def keypoints(grey: np.ndarray, per_scale: int = 12, scales: tuple[float, ...] =
         top[:edge] = top[-edge:] = top[:, :edge] = top[:, -edge:] = False
         ys, xs = np.nonzero(top)
         order = np.lexsort((xs, ys, -strength[ys, xs]))[:per_scale]
-        for y, x in zip(ys[order], xs[order], strict=True):
-            dy, dx = np.mgrid[-4:5, -4:5]
-            window = _sample(img, np.clip(y + dy, 0, h - 1).astype(float), np.clip(x + dx, 0, w - 1).astype(float))
-            angle = np.arctan2((window * dy).sum(), (window * dx).sum())
-            turn = np.array([[np.cos(angle), -np.sin(angle)], [np.sin(angle), np.cos(angle)]])
-            pts = _tests() @ turn.T
-            v = _sample(img, np.clip(y + pts[..., 1], 0, h - 1), np.clip(x + pts[..., 0], 0, w - 1))
-            out.append(((x + 0.5) * scale, (y + 0.5) * scale, scale, np.packbits(v[:, 0] < v[:, 1]).tobytes()))
+        ys, xs = ys[order, None, None], xs[order, None, None]
+        dy, dx = np.mgrid[-4:5, -4:5]
+        window = _sample(img, np.clip(ys + dy, 0, h - 1).astype(float), np.clip(xs + dx, 0, w - 1).astype(float))
+        angle = np.arctan2((window * dy).sum((1, 2)), (window * dx).sum((1, 2)))[:, None, None]
+        px, py = _tests()[..., 0], _tests()[..., 1]
+        u, v = np.cos(angle) * px - np.sin(angle) * py, np.sin(angle) * px + np.cos(angle) * py
+        values = _sample(img, np.clip(ys + v, 0, h - 1), np.clip(xs + u, 0, w - 1))
+        bits = np.packbits(values[..., 0] < values[..., 1], axis=1)
+        out += [((x + 0.5) * scale, (y + 0.5) * scale, scale, d.tobytes()) for y, x, d in zip(ys.ravel(), xs.ravel(), bits, strict=True)]
     return out
 
 
-POINTS = T.ArrayType(T.StructType().add("x", "double").add("y", "double").add("scale", "double").add("bits", "binary"))
+#: A keypoint in a column of packed points.
+POINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("scale", "<f4"), ("bits", "u1", BITS // 8)])
+
+
+def pack(points: list[tuple[float, float, float, bytes]]) -> bytes:
+    """Keypoints as the bytes of a POINT array."""
+    out = np.zeros(len(points), POINT)
+    for k, (x, y, scale, bits) in enumerate(points):
+        out[k] = x, y, scale, np.frombuffer(bits, np.uint8)
+    return out.tobytes()
 
 
 def describe(images: DataFrame, image: str = "image", id_col: str = "image_id", **options) -> DataFrame:
-    """(id, image) -> (id, key, points): a digest of the pixels and the keypoints; undecodable images have neither."""
-    kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64()), ("scale", pa.float64()), ("bits", pa.binary())]))
-    schema = T.StructType([*images.select(id_col).schema.fields]).add("key", "string").add("points", POINTS)
+    """(id, image) -> (id, key, points): a digest of the pixels and the packed keypoints; both null for undecodable images."""
+    schema = T.StructType([*images.select(id_col).schema.fields]).add("key", "binary").add("points", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -158,9 +168,9 @@ def describe(images: DataFrame, image: str = "image", id_col: str = "image_id",
             keys, points = [], []
             for data in batch.column(1):
                 grey = decode(data.as_py())
-                keys.append(None if grey is None else hashlib.sha256(repr(grey.shape).encode() + grey.tobytes()).hexdigest())
-                points.append([] if grey is None else [dict(zip(("x", "y", "scale", "bits"), p, strict=True)) for p in keypoints(grey, **options)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string()), pa.array(points, kind)], names=schema.names)
+                keys.append(None if grey is None else hashlib.sha256(repr(grey.shape).encode() + grey.tobytes()).digest()[:16])
+                points.append(None if grey is None else pack(keypoints(grey, **options)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(points, pa.binary())], names=schema.names)
 
     return images.select(id_col, image).mapInArrow(run, schema)
 
@@ -171,91 +181,115 @@ def _tables(n: int, width: int) -> np.ndarray:
     return np.array([rng.choice(BITS, width, replace=False) for _ in range(n)])
 
 
-def consensus(a: list[dict], b: list[dict], max_bits: int = 20, tolerance: float = 3.0) -> int:
+def entries(points: np.ndarray, tables: int, width: int, near: int) -> np.ndarray:
+    """Table entries of an image: the sampled bits of a keypoint and of one of its `near` nearest neighbours of the same scale.
+
+    One descriptor alone is no good entry: the gradients around blobs look alike in unrelated images. Two side by side
+    rarely do, and copies and crops keep neighbours together.
+    """
+    if len(points) < 2:
+        return np.zeros(0, np.int64)
+    bits = np.unpackbits(points["bits"], axis=1).astype(np.uint64)
+    code = (bits[:, _tables(tables, width)] << np.arange(width, dtype=np.uint64)).sum(2, dtype=np.uint64)
+    away = (points["x"][:, None] - points["x"]) ** 2 + (points["y"][:, None] - points["y"]) ** 2
+    away = np.where((points["scale"][:, None] == points["scale"]) & (away >= 4), away, np.inf)
+    j = np.argsort(away, axis=1, kind="stable")[:, :near].ravel()
+    i = np.repeat(np.arange(len(points)), min(near, len(points)))
+    i, j = (x[np.isfinite(away[i, j])] for x in (i, j))
+    low, high = np.minimum(code[i], code[j]), np.maximum(code[i], code[j])
+    return np.unique(mix(mix(mix(low) ^ high) + np.arange(tables, dtype=np.uint64))).view(np.int64)
+
+
+def consensus(a: np.ndarray, b: np.ndarray, max_bits: int = 20, tolerance: float = 3.0) -> int:
     """Matches of two images' keypoints that agree on one scale and shift: the best of the hypotheses of all matches."""
-    if not a or not b:
+    if not len(a) or not len(b):
         return 0
-    ones = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-    x, y = (np.frombuffer(b"".join(p["bits"] for p in s), np.uint8).reshape(len(s), -1) for s in (a, b))
-    d = ones[x[:, None] ^ y[None]].sum(2)
+    d = np.bitwise_count(a["bits"][:, None] ^ b["bits"][None]).sum(2, dtype=np.int64)
     i = np.arange(len(a))
     j = d.argmin(1)
     good = (d[i, j] <= max_bits) & (d[:, j].argmin(0) == i)
     i, j = i[good], j[good]
     if not len(i):
         return 0
-    pa_, pb = np.array([[p["x"], p["y"]] for p in a])[i], np.array([[p["x"], p["y"]] for p in b])[j]
-    ratio = np.array([p["scale"] for p in b])[j] / np.array([p["scale"] for p in a])[i]
-    best = 0
-    for k in range(len(i)):
-        moved = (pa_ - pa_[k]) * ratio[k] + pb[k]
-        fits = (np.abs(moved - pb).max(1) <= tolerance * max(1, ratio[k])) & (np.abs(np.log(ratio / ratio[k])) < 0.45)
-        # places that coincide count once
-        best = max(best, len({(int(u), int(v)) for u, v in pb[fits] // 2}))
-    return best
-
-
-def copies(images: DataFrame, image: str = "image", id_col: str = "image_id", tables: int = 6, width: int = 44, least: int = 6, group: int = 64, **options) -> DataFrame:
-    """(id, image) -> (id, n_points, copy_id, n_links): groups of images that are copies, crops or edits of each other.
-
-    Images of equal pixels are one class; its smallest id stands for it. Classes meet where descriptors agree on all
-    `width` sampled bits of one of `tables` tables. All pairs of an entry of up to `group` classes are candidates; larger
-    entries are split by a second and a third entry in common, which copies have, and then compared in full. Candidates with `least` matches of one geometry link.
-    n_links counts linked classes; copy_id is the smallest id reachable. Null, broken and unsupported images have no
-    points, link with nothing and are groups of their own. Repeated rows are one class; an empty table gives no rows.
+    at, to = (np.stack([p["x"], p["y"]], 1).astype(float) for p in (a[i], b[j]))
+    ratio = b["scale"][j].astype(float) / a["scale"][i]
+    moved = (at[None] - at[:, None]) * ratio[:, None, None] + to[:, None]
+    fits = (np.abs(moved - to).max(2) <= tolerance * np.maximum(1, ratio)[:, None]) & (np.abs(np.log(ratio / ratio[:, None])) < 0.45)
+    # places that coincide count once
+    _, place = np.unique((to // 2).astype(int), axis=0, return_inverse=True)
+    return max(len(set(place[f].tolist())) for f in fits)
+
+
+def copies(images: DataFrame, image: str = "image", id_col: str = "image_id", tables: int = 6, width: int = 44, near: int = 3, meet: int = 2, least: int = 6, stars: int = 3, **options) -> DataFrame:
+    """(id, image) -> (id, n_points, copy_id): groups of images that are copies, crops or edits of each other.
+
+    Images of equal pixels are one class; its smallest id stands for it. Classes are candidates if they have `meet` of
+    their table entries in common; candidates with `least` matches of one geometry link. First, up to `stars` times,
+    every class meets one class of each of its entries, the same one in all entries that have it: an entry of any size
+    costs its own length. Entries whose classes are all of one group are done; in the others, all pairs of classes of
+    different groups are candidates. copy_id is the smallest id reachable.
+
+    Null, broken and unsupported images have no points, link with nothing and are groups of their own. Repeated rows
+    are one class, rows of one id are one image whose contents' links join, and rows with a null id link only with equal
+    pixels. Ties don't matter; further columns are ignored; an empty table gives no rows.
     """
     prepare(images.sparkSession)
     rows = stage(describe(images, image, id_col, **options).withColumnRenamed(id_col, "id"))
     classes = stage(rows.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("points").alias("points")))
-    schema = T.StructType().add("key", "string").add("entry", "long")
+    known = classes.where("rep is not null").select("rep", "points")
+    schema = T.StructType([known.schema["rep"], T.StructField("entry", T.LongType())])
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pick, weight = _tables(tables, width), 1 << np.arange(width, dtype=np.int64)
         for batch in batches:
-            keys, entries = [], []
-            for key, points in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if points:
-                    bits = np.unpackbits(np.frombuffer(b"".join(p["bits"] for p in points), np.uint8).reshape(len(points), -1), axis=1)
-                    own = np.unique((bits[:, pick] * weight).sum(2) + (np.arange(tables, dtype=np.int64) << 40))
-                    entries.append(own)
-                    keys += [key] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(np.concatenate(entries) if entries else np.zeros(0, np.int64), pa.int64())], names=["key", "entry"])
-
-    entries = classes.select("key", "points").mapInArrow(enter, schema)
-    sizes = entries.groupBy("entry").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = stage(entries.join(sizes, "entry"))
-    own = shared.select("key", "entry")
-    # a pair meets in three entries at least, so what is large may be split by a second and a third entry in common
-    pairs = None
-    for level in range(3):
-        now = shared if level == 2 else shared.where(F.col("size") <= group)
-        x, y = now.select("entry", F.col("key").alias("a")), now.select("entry", F.col("key").alias("b"))
-        met = x.join(y, "entry").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).select("a", "b")
-        pairs = met if pairs is None else pairs.unionByName(met)
-        large = shared.where(F.col("size") > group).select("key", "entry")
-        if level == 2 or large.isEmpty():
-            break
-        split = large.join(own.select("key", F.col("entry").alias("other")), "key").where("entry != other").select("key", F.xxhash64(F.least("entry", "other"), F.greatest("entry", "other"), F.lit(level)).alias("entry")).distinct()
-        sizes = split.groupBy("entry").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        shared = stage(split.join(sizes, "entry"))
-    links = stage(_confirmed(pairs.distinct(), classes, least))
-    comps = components(links)
-    degree = links.select(F.col("a").alias("key")).unionByName(links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
-    named = classes.select("key", "rep").join(comps, classes["key"] == comps["node"], "left").select("key", "rep", F.coalesce("comp", "key").alias("comp")).join(degree, "key", "left")
-    named = named.join(named.groupBy("comp").agg(F.min("rep").alias("copy_id")), "comp").select("key", "copy_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return rows.join(named, "key", "left").select(F.col("id").alias(id_col), F.size("points").cast("long").alias("n_points"), F.coalesce("copy_id", "id").alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-
-
-def _confirmed(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    p = classes.select("key", "points")
-    full = pairs.join(p.toDF("a", "pa"), "a").join(p.toDF("b", "pb"), "b").select("a", "b", "pa", "pb")
+            own = [entries(np.frombuffer(x.as_buffer(), POINT), tables, width, near) for x in batch.column(1)]
+            at = np.repeat(np.arange(len(own)), [len(x) for x in own])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.concatenate([np.zeros(0, np.int64), *own]))], names=schema.names)
+
+    entered = known.mapInArrow(enter, schema)
+    common = stage(entered.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("entry"))
+    shared = stage(entered.join(_sized(common), "entry").select("entry", "rep"))
+    links = tried = comps = None
+    for turn in range(stars + 1):
+        named = shared.withColumn("comp", F.col("rep")) if comps is None else shared.join(comps, shared["rep"] == comps["node"], "left").select("entry", "rep", F.coalesce("comp", "rep").alias("comp"))
+        drawn = F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(turn))).alias("lead")
+        summed = named.groupBy("entry").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), drawn).where("lo != hi").select("entry", "lead")
+        now = stage(named.join(summed, "entry"))
+        shared = now.select("entry", "rep")
+        if turn < stars:
+            both = now.where("comp != lead.comp").select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b"))
+        else:
+            x, y = now.select("entry", F.col("rep").alias("a"), F.col("comp").alias("ca")), now.select("entry", F.col("rep").alias("b"), F.col("comp").alias("cb"))
+            both = x.join(y, "entry").where("a < b and ca != cb").select("a", "b")
+        pairs = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= meet).select("a", "b")
+        pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        new = stage(_confirmed(pairs, known, least))
+        links = new if links is None else links.unionByName(new)
+        if not new.isEmpty():
+            comps = stage(components(links))
+    named = classes.select("key", "rep")
+    if comps is not None:
+        named = named.join(comps, named["rep"] == comps["node"], "left").select("key", F.coalesce("comp", "rep").alias("copy_id"))
+    else:
+        named = named.select("key", F.col("rep").alias("copy_id"))
+    n_points = F.coalesce(F.floor(F.length("points") / POINT.itemsize), F.lit(0)).cast("long").alias("n_points")
+    return rows.select("id", "key", n_points).join(named, "key", "left").select(F.col("id").alias(id_col), "n_points", F.coalesce("copy_id", "id").alias("copy_id"))
+
+
+def _sized(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A table of a few numbers a row, broadcast if it has at most so many rows, else joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def _confirmed(pairs: DataFrame, points: DataFrame, least: int) -> DataFrame:
+    full = pairs.join(points.toDF("a", "pa"), "a").join(points.toDF("b", "pb"), "b").select("a", "b", "pa", "pb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [consensus(x, y) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            keep = [consensus(*(np.frombuffer(p.as_buffer(), POINT) for p in both)) >= least for both in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return full.mapInArrow(run, pairs.schema)
+    return full.mapInArrow(run, pairs.schema).distinct()
 
 
 def render_vectors(vectors: DataFrame, vec: str = "embedding", side: int = 48) -> DataFrame:

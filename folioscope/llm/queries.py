@@ -59,7 +59,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """vec_id, n_points, copy_id, n_links over the pictures drawn from all embeddings."""
+    """vec_id, n_points, copy_id over the pictures drawn from all embeddings."""
     prepare(spark)
     pictures = media.render_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return media.copies(pictures.select("vec_id", "image"), id_col="vec_id")

@@ -194,8 +194,18 @@ def pgm(x):
 def test_media_copies(spark):
     a, b = picture(1), picture(2)
     rows = [(1, pgm(a)), (2, pgm(a[4:60, 3:62] * 0.9 + 6)), (3, pgm(b)), (4, pgm(b)), (5, None), (6, b"junk"), (7, pgm(np.zeros((64, 64)))), (8, pgm(picture(3)))]
-    out = {r["image_id"]: (r["copy_id"], r["n_links"]) for r in media.copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
-    assert out == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (3, 0), 5: (5, 0), 6: (6, 0), 7: (7, 0), 8: (8, 0)}
+    out = {r["image_id"]: r["copy_id"] for r in media.copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+    assert out == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6, 7: 7, 8: 8}
+
+
+def test_media_family_links_through_stars(spark):
+    rng = np.random.RandomState(4)
+    a, b = picture(11), picture(12)
+    rows = [(i, pgm((a if i % 2 else b) + rng.normal(0, 2, a.shape)), "x") for i in range(24)] + [(None, pgm(a), "x"), (24, None, None)]
+    out = media.copies(spark.createDataFrame(rows, "image_id long, image binary, key string"))
+    assert {r["image_id"]: r["copy_id"] for r in out.where("image_id is not null").collect()} == {i: i % 2 if i < 24 else i for i in range(25)}
+    assert out.where("image_id is null").count() == 1
+    assert media.copies(spark.createDataFrame([], "image_id long, image binary")).count() == 0
 
 
 def test_pii_round_trip(spark):
