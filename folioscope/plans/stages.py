@@ -12,10 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscope.functions.dialect import render
+from folioscope.sources.staging import stage_once
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-#: Stages whose rows several readers need: kept in memory or on disk while the query runs.
+#: Stages whose rows several readers need: written once to the shared checkpoint folder, which also keeps plans short.
 KEPT = {"blocks", "chunks", "tok", "tf", "term_stats", "bm25_all", "bm25", "dense", "fused", "qvec", "pvec", "edges", "gold_pages", "ranked", "base", "seeds", "alias_hits", "vec", "patches", "alias_pages", "outside", "local"}
 
 _LINES = (
@@ -148,6 +149,17 @@ def needs(sql: str) -> list[str]:
     return list(dict.fromkeys(_REF.findall(sql.replace("{{", "").replace("}}", ""))))
 
 
+def sources(name: str) -> list[str]:
+    """The tables that a stage is made of, sorted."""
+    seen, open_ = set(), [name]
+    while open_:
+        now = open_.pop()
+        if now not in seen:
+            seen.add(now)
+            open_ += needs(text_of(now, 0)) if now not in TABLES else []
+    return sorted(seen & set(TABLES))
+
+
 def frame(spark: SparkSession, sf_dir: str, sql: str | tuple[str, str], made: dict[str, DataFrame] | None = None) -> DataFrame:
     """The DataFrame of a query over stages; stages that several readers share are made once."""
     made = {} if made is None else made
@@ -158,7 +170,7 @@ def frame(spark: SparkSession, sf_dir: str, sql: str | tuple[str, str], made: di
                 made[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
             else:
                 df = frame(spark, sf_dir, text_of(name, 0), made)
-                made[name] = df.persist() if name in KEPT else df
+                made[name] = stage_once(df, name, [f"{sf_dir}/{t}.parquet" for t in sources(name)]) if name in KEPT else df
     used = {n: made[n] for n in needs(body)}
     flat = render(body, 0)
     for n in used:
