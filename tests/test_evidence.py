@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from folioscope.functions.dialect import render
-from folioscope.plans import registry
+from folioscope.plans import registry, stages
 
 SF = "/root/testdata/sf0.001"
 QUICK = ["text_normalize", "unit_normalize", "think_strip", "page_chunks", "doc_card", "bm25_topk", "dense_topk", "hybrid_topk", "kg_edges", "qa_metrics", "breakdown", "agent_novelty", "ocr_clean", "heading_parent", "section_path", "alias_match", "qc_filter", "visual_filter", "number_extract", "visual_query_split"]
@@ -36,6 +36,8 @@ def test_render():
     assert render("RR[x; '[a;]'; ' ']", 0) == "regexp_replace(x, '[a;]', ' ')"
 
 
-def test_top_k_is_limited_before_the_shuffle(spark):
-    plan = registry.QUERIES["dense_topk"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan or "InMemoryTableScan" in plan
+@pytest.mark.parametrize("name", ["bm25", "dense"])
+def test_top_k_is_limited_before_the_shuffle(spark, name):
+    """In the plan of the ranking itself, which is staged: queries only read what it has written."""
+    plan = stages.frame(spark, SF, stages.text_of(name, 0))._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
