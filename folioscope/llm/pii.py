@@ -226,7 +226,8 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", spans: str | N
             hits = np.concatenate([[0], np.cumsum(mark[raw])])
             hits = hits[off[1:]] - hits[off[:-1]]
             changed, found = {}, [[]] * len(column)
-            for i in np.flatnonzero(hits > 1):
+            # one '@' makes an address; every other kind has a digit, keys of letters alone aren't valid
+            for i in np.flatnonzero(hits > 0):
                 new, own = mask(column[i].as_py(), key)
                 if own:
                     changed[i], found[i] = new, own

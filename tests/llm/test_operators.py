@@ -223,6 +223,14 @@ def test_pii_round_trip(spark):
     assert len({pii.permute(v, 10, 13, key, "t") for v in range(130)}) == 130
 
 
+def test_pii_address_without_digits(spark):
+    text = "write to anna@example.org for details"
+    out = pii.pseudonymise(spark.createDataFrame([(1, text), (2, "no mark at all")], "doc_id long, text string"), b"k").orderBy("doc_id").collect()
+    new, spans = pii.mask(text, b"k")
+    assert "anna@" not in out[0]["text"] and out[0]["text"] == new and [tuple(x) for x in out[0]["pii"]] == spans == [("email", 9, 25)]
+    assert out[1]["text"] == "no mark at all" and out[1]["pii"] == []
+
+
 def test_quality(spark):
     rows = [(i, ("some plain words of a text that reads well. " * 5) if i % 3 else ("bad### words$$$ | x!! | " * 9)) for i in range(90)] + [(200, None), (201, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
