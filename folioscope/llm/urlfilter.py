@@ -80,8 +80,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], rounds: int = 8,
 
     Seeds are the hosts of the pages that rules allow and block, by number of pages. Trust follows links from the
     allowed hosts, distrust follows them backwards from the blocked ones (who links a blocked host is suspect). A page
-    without a rule is blocked when its host's distrust exceeds its trust by more than margin; scores are compared
-    rounded to 9 digits. Null urls, and hosts that nothing reaches, are allowed. Repeated pages count each, an empty
+    without a rule is blocked when its host's distrust exceeds its trust by more than margin and 1e-9 of the larger
+    score: a host's share of all mass shrinks as tables grow, so no fixed number of digits tells it from 0. Null urls, and hosts that nothing reaches, are allowed. Repeated pages count each, an empty
     table gives no rows, and further columns are ignored.
     """
     prepare(pages.sparkSession)
@@ -94,5 +94,6 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], rounds: int = 8,
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     distrust = personalised_rank(back, hosts.where(F.col("verdict") == BLOCK), rounds, damping)
     scores = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full").na.fill(0.0, ["trust", "distrust"])
-    by_method = F.when(F.round(F.coalesce("distrust", F.lit(0.0)) - F.coalesce("trust", F.lit(0.0)), 9) > margin, BLOCK).otherwise(ALLOW)
-    return found.join(scores, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", by_method).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    good, bad = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
+    by_method = F.when(bad - good > margin + 1e-9 * F.greatest(good, bad), BLOCK).otherwise(ALLOW)
+    return found.join(scores, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", by_method).alias("verdict"), good.alias("trust"), bad.alias("distrust"))

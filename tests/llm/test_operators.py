@@ -143,6 +143,14 @@ def levenshtein_in(item, text):
     return min(row)
 
 
+def test_url_distrust_of_a_tiny_share(spark):
+    to = lambda host, n: f'<a href="http://{host}/">' * n
+    rows = [(1, "http://bad.org/x", ""), (2, "http://big.net/", to("bad.org", 30000)), (3, "http://mid.net/", to("bad.org", 1)), (4, "http://wide.net/", to("mid.net", 30000)), (5, "http://far.net/", to("mid.net", 1)), (6, "http://none.net/", "")]
+    out = {r["page_id"]: r for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), [("block", "bad.org", "/")]).collect()}
+    assert 0 < out[5]["distrust"] < 5e-10 and out[5]["trust"] == 0
+    assert [out[k]["verdict"] for k in range(1, 7)] == ["block"] * 5 + ["allow"]
+
+
 def test_decontamination(spark):
     rng = random.Random(2)
     item = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(25))
