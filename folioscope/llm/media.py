@@ -23,6 +23,7 @@ from .common import mix, prepare, stage
 from .components import components
 
 BITS = 128
+BLOCK = 256  # rows of a table of distances made at once
 PATCH = 8  # half the side of the square that a descriptor compares within
 
 
@@ -115,8 +116,8 @@ def _tests() -> np.ndarray:
     return np.clip(rng.normal(0, PATCH / 2.2, (BITS, 2, 2)), -PATCH + 1, PATCH - 1)
 
 
-def keypoints(grey: np.ndarray, per_scale: int = 12, scales: tuple[float, ...] = (1, 1.5, 2.25), quality: float = 0.02) -> list[tuple[float, float, float, bytes]]:
-    """(x, y, scale, descriptor) of the strongest corners of each scale, in pixels of the image."""
+def keypoints(grey: np.ndarray, scales: tuple[float, ...] = (1, 1.5, 2.25), quality: float = 0.02) -> list[tuple[float, float, float, bytes]]:
+    """(x, y, scale, descriptor) of all corners of each scale whose strength passes the quality, in pixels of the image."""
     out = []
     for scale in scales:
         img = _blur(grey.astype(float) if scale == 1 else _shrink(_blur(grey.astype(float)), scale))
@@ -132,8 +133,7 @@ def keypoints(grey: np.ndarray, per_scale: int = 12, scales: tuple[float, ...] =
         top = (strength == around) & (strength > max(1e-6, quality * strength.max()))
         top[:edge] = top[-edge:] = top[:, :edge] = top[:, -edge:] = False
         ys, xs = np.nonzero(top)
-        order = np.lexsort((xs, ys, -strength[ys, xs]))[:per_scale]
-        ys, xs = ys[order, None, None], xs[order, None, None]
+        ys, xs = ys[:, None, None], xs[:, None, None]
         dy, dx = np.mgrid[-4:5, -4:5]
         window = _sample(img, np.clip(ys + dy, 0, h - 1).astype(float), np.clip(xs + dx, 0, w - 1).astype(float))
         angle = np.arctan2((window * dy).sum((1, 2)), (window * dx).sum((1, 2)))[:, None, None]
@@ -191,23 +191,38 @@ def entries(points: np.ndarray, tables: int, width: int, near: int) -> np.ndarra
         return np.zeros(0, np.int64)
     bits = np.unpackbits(points["bits"], axis=1).astype(np.uint64)
     code = (bits[:, _tables(tables, width)] << np.arange(width, dtype=np.uint64)).sum(2, dtype=np.uint64)
-    away = (points["x"][:, None] - points["x"]) ** 2 + (points["y"][:, None] - points["y"]) ** 2
-    away = np.where((points["scale"][:, None] == points["scale"]) & (away >= 4), away, np.inf)
-    j = np.argsort(away, axis=1, kind="stable")[:, :near].ravel()
-    i = np.repeat(np.arange(len(points)), min(near, len(points)))
-    i, j = (x[np.isfinite(away[i, j])] for x in (i, j))
+    pairs = []
+    for at in range(0, len(points), BLOCK):
+        own = points[at : at + BLOCK]
+        away = (own["x"][:, None] - points["x"]) ** 2 + (own["y"][:, None] - points["y"]) ** 2
+        away = np.where((own["scale"][:, None] == points["scale"]) & (away >= 4), away, np.inf)
+        j = np.argsort(away, axis=1, kind="stable")[:, :near].ravel()
+        i = np.repeat(np.arange(len(own)), min(near, len(points)))
+        fine = np.isfinite(away[i, j])
+        pairs.append((at + i[fine], j[fine]))
+    i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
     low, high = np.minimum(code[i], code[j]), np.maximum(code[i], code[j])
     return np.unique(mix(mix(mix(low) ^ high) + np.arange(tables, dtype=np.uint64))).view(np.int64)
 
 
+def _nearest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each descriptor of a the first nearest of b, and the bits in which they differ."""
+    words_a, words_b = (np.ascontiguousarray(x).view(np.uint64) for x in (a["bits"], b["bits"]))
+    j, d = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+    for at in range(0, len(a), BLOCK):
+        away = sum(np.bitwise_count(words_a[at : at + BLOCK, None, k] ^ words_b[None, :, k]).astype(np.int64) for k in range(BITS // 64))
+        j[at : at + BLOCK] = away.argmin(1)
+        d[at : at + BLOCK] = away.min(1)
+    return j, d
+
+
 def consensus(a: np.ndarray, b: np.ndarray, max_bits: int = 20, tolerance: float = 3.0) -> int:
     """Matches of two images' keypoints that agree on one scale and shift: the best of the hypotheses of all matches."""
     if not len(a) or not len(b):
         return 0
-    d = np.bitwise_count(a["bits"][:, None] ^ b["bits"][None]).sum(2, dtype=np.int64)
     i = np.arange(len(a))
-    j = d.argmin(1)
-    good = (d[i, j] <= max_bits) & (d[:, j].argmin(0) == i)
+    j, d = _nearest(a, b)
+    good = (d <= max_bits) & (_nearest(b, a)[0][j] == i)
     i, j = i[good], j[good]
     if not len(i):
         return 0
