@@ -1,8 +1,8 @@
 """Media columns: local image descriptors find cropped or edited copies.
 
 Corners at several scales get binary descriptors turned to their own orientation. Descriptors meet in tables of bit
-sampled Hamming blocks, two neighbours at a time, and pairs of images with enough matches that agree on one scale and
-shift are copies.
+sampled Hamming blocks, two neighbours at a time, and pairs of images with enough matches that agree on one rotation,
+scale and shift are copies.
 """
 
 from __future__ import annotations
@@ -216,23 +216,53 @@ def _nearest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return j, d
 
 
-def consensus(a: np.ndarray, b: np.ndarray, max_bits: int = 20, tolerance: float = 3.0) -> int:
-    """Matches of two images' keypoints that agree on one scale and shift: the best of the hypotheses of all matches."""
+def consensus(a: np.ndarray, b: np.ndarray, max_bits: int = 20, tolerance: float = 3.0, enough: int | None = None) -> int:
+    """Matches of two images' keypoints that agree on one rotation, scale and shift: the best of the hypotheses of all pairs of matches.
+
+    Places may be off by the tolerance in pixels or a hundredth of the matches' extent, times the scale. Many random
+    matches agree on something by chance: fewer matches than chance gives one hypothesis in a thousand pictures count as
+    0. With enough, hypotheses end once one has so many matches, and more than by chance.
+    """
     if not len(a) or not len(b):
         return 0
     i = np.arange(len(a))
     j, d = _nearest(a, b)
     good = (d <= max_bits) & (_nearest(b, a)[0][j] == i)
     i, j = i[good], j[good]
-    if not len(i):
-        return 0
-    at, to = (np.stack([p["x"], p["y"]], 1).astype(float) for p in (a[i], b[j]))
-    ratio = b["scale"][j].astype(float) / a["scale"][i]
-    moved = (at[None] - at[:, None]) * ratio[:, None, None] + to[:, None]
-    fits = (np.abs(moved - to).max(2) <= tolerance * np.maximum(1, ratio)[:, None]) & (np.abs(np.log(ratio / ratio[:, None])) < 0.45)
+    if len(i) < 2:
+        return len(i)
+    at, to = (p["x"].astype(float) + 1j * p["y"] for p in (a[i], b[j]))
+    level = np.log(b["scale"][j].astype(float) / a["scale"][i])
+    extent = np.maximum([np.ptp(to.real), np.ptp(to.imag)], 1)
+    slack = max(tolerance, 0.01 * extent.max())
+    # Poisson: the least number of matches beside the two of a hypothesis that all of them reach by chance with 0.001 at most
+    n = len(i)
+    mean = n * min(1.0, np.pi * slack**2 / extent.prod())
+    needed, term = 2, n * n / 2 * np.exp(-mean)
+    while needed <= n and (term > 1e-3 or needed - 2 < mean):
+        needed += 1
+        term *= mean / (needed - 2)
     # places that coincide count once
-    _, place = np.unique((to // 2).astype(int), axis=0, return_inverse=True)
-    return max(len(set(place[f].tolist())) for f in fits)
+    _, place = np.unique(np.stack([to.real // 2, to.imag // 2], 1).astype(int), axis=0, return_inverse=True)
+    place = place.ravel()
+    best, step = 1, max(1, 4096 // n)
+    for start in range(0, n, step):
+        x, y = np.nonzero(np.arange(n) > np.arange(start, min(start + step, n))[:, None])
+        x += start
+        # close pairs leave rotation and scale open
+        x, y = (v[(np.abs(at[y] - at[x]) >= PATCH / 2) & (np.abs(to[y] - to[x]) >= PATCH / 2)] for v in (x, y))
+        turn = (to[y] - to[x]) / (at[y] - at[x])
+        size = np.abs(turn)
+        moved = (at - at[x, None]) * turn[:, None] + to[x, None]
+        fits = (np.abs(moved - to) <= slack * np.maximum(1, size)[:, None]) & (np.abs(level - np.log(size)[:, None]) < 0.45)
+        counts = fits.sum(1)
+        for k in np.argsort(-counts, kind="stable"):
+            if counts[k] <= best:
+                break
+            best = max(best, len(np.unique(place[fits[k]])))
+        if enough is not None and best >= max(enough, needed):
+            break
+    return best if best >= needed else 0
 
 
 def copies(images: DataFrame, image: str = "image", id_col: str = "image_id", tables: int = 6, width: int = 44, near: int = 3, meet: int = 2, least: int = 6, stars: int = 3, **options) -> DataFrame:
@@ -301,7 +331,7 @@ def _confirmed(pairs: DataFrame, points: DataFrame, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [consensus(*(np.frombuffer(p.as_buffer(), POINT) for p in both)) >= least for both in zip(batch.column(2), batch.column(3), strict=True)]
+            keep = [consensus(*(np.frombuffer(p.as_buffer(), POINT) for p in both), enough=least) >= least for both in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return full.mapInArrow(run, pairs.schema).distinct()

@@ -228,6 +228,13 @@ def test_media_crops_of_large_pictures(spark):
     assert out == {1: 1, 2: 2, 3: 1, 4: 2, 5: 5}
 
 
+def test_media_turned_and_resized(spark):
+    a, b = texture(1), texture(2)
+    rows = [(1, pgm(a)), (2, pgm(b)), (3, pgm(np.rot90(a))), (4, pgm(media._shrink(b, 1.25))), (5, pgm(texture(3)))]
+    out = {r["image_id"]: r["copy_id"] for r in media.copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+    assert out == {1: 1, 2: 2, 3: 1, 4: 2, 5: 5}
+
+
 def test_pii_round_trip(spark):
     key = b"k"
     text = "call +1 (743) 555-3824 or und.34@mail7.example.com card 4111111111111111 not 9807915762804490 at 227.5.221.1 999.1.1.1 on 2024-02-29, 31/02/2020, 123-45-6789, token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" v2.0."
