@@ -2,30 +2,36 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SHIPPED: set[str] = set()
-_STAGED = [0]
 
 
-def prepare(spark: SparkSession) -> None:
-    """Makes a session ready for the operators: checkpoint folder, small Arrow batches, package on the workers.
-
-    The checkpoint folder is the one named by spark.checkpoint.dir; a temporary one is made only where the session
-    names none, as in local tests.
-    """
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder named by spark.checkpoint.dir; a temporary one only on a local master that names none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="folioscope-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def prepare(spark: SparkSession) -> None:
+    """Makes a session ready for the operators: checkpoint folder, small Arrow batches, package on the workers."""
+    sc = spark.sparkContext
+    checkpoint_dir(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     paths = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -41,21 +47,70 @@ def prepare(spark: SparkSession) -> None:
         _SHIPPED.add(sc.applicationId)
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Writes df once to the shared checkpoint folder and reads it from there: cut lineage that outlives executors."""
-    prepare(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    _STAGED[0] += 1
-    if _STAGED[0] % 3 == 0:
-        del df
-        release(out.sparkSession)
-    return out
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
+class Stages:
+    """Tables written once to the shared checkpoint folder, as Parquet, and deleted when the work is done.
+
+    A staged table cuts lineage and outlives executors. The shuffle files of the plan that wrote it go at once, those
+    of dropped tables with drop(), and all but results when the block ends, however it ends. A result stays in the
+    checkpoint folder for the reader, as a checkpoint would.
+    """
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files and checkpoints of tables that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    def __init__(self, spark: SparkSession) -> None:
+        prepare(spark)
+        self.spark = spark
+        self.root = f"{checkpoint_dir(spark)}/stages-{uuid.uuid4().hex}"
+        self.paths: dict[int, str] = {}
+        self.held: list[DataFrame] = []
+
+    def __enter__(self) -> Stages:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*self.held)
+
+    def _write(self, df: DataFrame, path: str) -> DataFrame:
+        # by place, since names may clash in ways that files don't take
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.toDF(*[f"c{i}" for i in range(len(df.columns))]).write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before) if before else self.spark.conf.unset(CLEANUP)
+        kinds = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema.fields)])
+        return self.spark.read.schema(kinds).parquet(path).toDF(*df.columns)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Writes df now and reads it from there until it is dropped or the block ends."""
+        path = f"{self.root}/{uuid.uuid4().hex}"
+        out = self._write(df, path)
+        self.paths[id(out)] = path
+        self.held.append(out)
+        return out
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """Writes df now and leaves it when the block ends."""
+        return self._write(df, f"{self.root}-result-{uuid.uuid4().hex}")
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Deletes tables of keep() that nothing reads any more."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for df in frames:
+            path = self.paths.pop(id(df), None)
+            if path:
+                at = jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(conf).delete(at, True)
+        self.held = [x for x in self.held if id(x) in self.paths]
+        if not self.paths:
+            at = jvm.org.apache.hadoop.fs.Path(self.root)
+            at.getFileSystem(conf).delete(at, True)
+
+
+def sized(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A table of a few numbers a row, broadcast if it has at most so many rows (32 MB), else joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

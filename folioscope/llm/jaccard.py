@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_WORDS, batch_words, mix, prepare, release, stage
+from .common import SPACE_WORDS, Stages, batch_words, mix, sized
 from .components import components
 
 SKETCH_SCHEMA = "key binary, n long, sketch binary, sigs array<long>"
@@ -93,9 +93,9 @@ def part_signatures(items: np.ndarray, parts: int = 24) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
-def sketches(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, parts: int = 24) -> DataFrame:
-    """(id, text) -> (id, key, n, sketch, sigs), one row per row."""
-    schema = T.StructType([*docs.select(id_col).schema.fields, *T.StructType.fromDDL(SKETCH_SCHEMA).fields])
+def sketches(docs: DataFrame, width: int = 5, parts: int = 24) -> DataFrame:
+    """(rep, text) -> (rep, key, n, sketch, sigs), one row per row; key and sketch are null for texts without words."""
+    schema = T.StructType([docs.schema["rep"], *T.StructType.fromDDL(SKETCH_SCHEMA).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,94 +110,131 @@ def sketches(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width:
             flat = pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(off), flat)], names=schema.names)
 
-    return docs.select(id_col, text).mapInArrow(run, schema)
+    return docs.select("rep", "text").mapInArrow(run, schema)
 
 
-def _fold(x: np.ndarray, n_bytes: int) -> np.ndarray:
-    """A sketch of more bits as one of n_bytes: bits are dealt by the low bits of a hash, so halves XOR."""
-    return np.bitwise_xor.reduce(x.reshape(-1, n_bytes), axis=0)
+def class_keys(docs: DataFrame, text: str = "text", width: int = 5) -> DataFrame:
+    """Adds class_key, as link() gives it, to every row: equal for texts of equal shingles, null without words. A column of that name is replaced."""
+    docs = docs.drop("class_key")
+    at = docs.columns.index(text)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = (shingle_set(words, width) for words in batch_words(batch.column(at), SPACE_WORDS))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([set_key(x) if len(x) else None for x in sets], pa.binary())], names=[*batch.schema.names, "class_key"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("class_key", T.BinaryType())]))
+
+
+def _fold(x: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows x 64-bit words) of more bits as ones of fewer words: bits are dealt by the low bits of a hash, so halves XOR."""
+    return np.bitwise_xor.reduce(x.reshape(len(x), -1, words), axis=1)
 
-def _hamming_filter(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sketches may belong to sets of similarity 3/4: Hamming distance <= (na + nb) / 7."""
-    slim = reps.select("rep", "n", "sketch")
+
+def _close(x: bytes, y: bytes, nx: int, ny: int) -> bool:
+    """Whether two sketches may belong to sets of similarity 3/4: Hamming distance <= (nx + ny) / 7."""
+    if 100 * min(nx, ny) < 75 * max(nx, ny):
+        return False
+    p, q, bits = int.from_bytes(x, "big"), int.from_bytes(y, "big"), 8 * min(len(x), len(y))
+    while p.bit_length() > bits or q.bit_length() > bits:
+        p, q = (v >> bits ^ v & (1 << bits) - 1 if v.bit_length() > bits else v for v in (p, q))
+    return 7 * (p ^ q).bit_count() <= nx + ny
+
+
+def _hamming_filter(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose sketches may belong to sets of similarity 3/4."""
+    slim = known.select("rep", "n", "sketch")
     rows = pairs.join(slim.toDF("a", "na", "sa"), "a").join(slim.toDF("b", "nb", "sb"), "b")
     rows = rows.where("100 * least(na, nb) >= 75 * greatest(na, nb)").select("a", "b", "na", "nb", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ones = np.array([bin(i).count("1") for i in range(256)], np.uint8)
         for batch in batches:
-            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            keep = np.zeros(len(na), bool)
-            for i, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
-                p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-                w = min(len(p), len(q))
-                keep[i] = int(ones[_fold(p, w) ^ _fold(q, w)].sum()) * 7 <= na[i] + nb[i]
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            na, nb, sa, sb = (batch.column(i).to_pylist() for i in range(2, 6))
+            yield batch.select(["a", "b"]).filter(pa.array(map(_close, sa, sb, na, nb), pa.bool_()))
 
     return rows.mapInArrow(run, pairs.select("a", "b").schema)
 
 
-def _pairs_in_groups(rows: DataFrame) -> DataFrame:
-    """(sig, rep, comp, n, sketch, own) -> pairs (a, b) of one group and different components that pass the sketch filter.
-
-    A pair that meets in several groups is written in the one of the smallest signature.
-
-    A group's rows come in the order of size, and only those within 4/3 of the current one are held. Pairs are
-    compared where they are, in blocks, and nothing but those that pass is written.
+def _block_pairs(n: np.ndarray, comp: np.ndarray, side: np.ndarray, sketch: list[np.ndarray], cells: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) of a block pair, of different components and different sides (any, if there is one side), whose sketches pass."""
+    width = np.array([len(x) for x in sketch])
+    out_i, out_j = [], []
+    one = len(np.unique(side)) == 1
+    for w in np.unique(width):
+        mine = np.flatnonzero(width == w)
+        block = np.stack([sketch[i] for i in mine])
+        for v in np.unique(width[width >= w]):
+            rest = np.flatnonzero(width == v)
+            other = block if v == w else _fold(np.stack([sketch[j] for j in rest]), int(w))
+            step = max(1, cells // (len(rest) * int(w)))
+            for at in range(0, len(mine), step):
+                own = mine[at : at + step]
+                fits = (100 * np.minimum.outer(n[own], n[rest]) >= 75 * np.maximum.outer(n[own], n[rest])) & (comp[own][:, None] != comp[rest])
+                fits &= (own[:, None] < rest) | (v != w)
+                if not one:
+                    fits &= side[own][:, None] != side[rest]
+                if fits.any():
+                    away = np.bitwise_count(block[at : at + step, None] ^ other[None]).sum(2, dtype=np.int64)
+                    i, j = np.nonzero(fits & (7 * away <= np.add.outer(n[own], n[rest])))
+                    out_i.append(own[i])
+                    out_j.append(rest[j])
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_i, out_j))
+
+
+def _pairs_in_groups(rows: DataFrame, block: int = 512) -> DataFrame:
+    """(sig, rep, comp, size, n, sketch) -> distinct pairs (a, b) of one group and different components that pass the sketch filter.
+
+    A group of `size` rows is dealt by a hash of the row to blocks of about `block` rows, and each pair of its blocks is
+    a unit of work of its own: units of one hot group go to many tasks, none holds more than two blocks, and nothing but
+    pairs that pass is written.
     """
-    ordered = rows.select("sig", "n", "rep", "comp", "sketch", "own").repartition("sig").sortWithinPartitions("sig", "n", "rep")
+    blocks = F.ceil(F.col("size") / F.lit(block))
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    unit = dealt.select("sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", F.xxhash64("comp").alias("comp"), "n", "sketch")
+    ordered = unit.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
     schema = T.StructType([T.StructField("a", rows.schema["rep"].dataType), T.StructField("b", rows.schema["rep"].dataType)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, held = None, []
+        now, held = None, []
+
+        def done() -> tuple[list, list]:
+            if len(held) < 2:
+                return [], []
+            own, rep, comp, n, sketch = zip(*held, strict=True)
+            i, j = _block_pairs(np.array(n), np.array(comp), np.array(own), [np.frombuffer(x, np.uint64) for x in sketch])
+            both = [(min(rep[x], rep[y]), max(rep[x], rep[y])) for x, y in zip(i, j, strict=True)]
+            return [x for x, _ in both], [y for _, y in both]
+
         for batch in batches:
             a, b = [], []
-            for s, n, rep, comp, x, y in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if s != sig:
-                    sig, held = s, []
-                w, y = np.frombuffer(x, np.uint64), frozenset(y)
-                if held and 100 * held[0][0] < 75 * n:
-                    held = [h for h in held if 100 * h[0] >= 75 * n]
-                for length in {len(h[3]) for h in held}:  # two at most: a band and the one before
-                    own = [h for h in held if len(h[3]) == length and h[2] != comp]
-                    if own:
-                        k = min(length, len(w))
-                        block = np.bitwise_xor.reduce(np.stack([h[3] for h in own]).reshape(len(own), -1, k), axis=1)
-                        d = np.bitwise_count(block ^ _fold(w, k)).sum(1, dtype=np.int64)
-                        for i in np.flatnonzero(7 * d <= n + np.array([h[0] for h in own])):
-                            if min(own[i][4] & y) == s:
-                                a.append(min(own[i][1], rep))
-                                b.append(max(own[i][1], rep))
-                held.append((n, rep, comp, w, y))
-            kind = batch.schema.field(2).type
+            kind = batch.schema.field(4).type
+            for row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+                if row[:3] != now:
+                    x, y = done()
+                    a, b, now, held = a + x if x else a, b + y if y else b, row[:3], []
+                held.append(row[3:])
             yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
+        if held:
+            x, y = done()
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind), pa.array(y, kind)], names=["a", "b"])
 
-    return ordered.mapInArrow(run, schema)
-
+    return ordered.mapInArrow(run, schema).distinct()
 
-def _sized(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """A table of a few numbers a row, broadcast if it has at most so many rows (32 MB), else joined by a shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
 
-
-def _sets_of(docs: DataFrame, text: str, id_col: str, width: int) -> DataFrame:
-    """(rep, items): the sorted shingle hashes of each row's text."""
-    schema = T.StructType([T.StructField("rep", docs.schema[id_col].dataType), T.StructField("items", T.BinaryType())])
+def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(rep, items): the sorted shingle hashes of the texts of the wanted reps."""
+    schema = T.StructType([docs.schema["rep"], T.StructField("items", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(w, width) for w in batch_words(batch.column(1), SPACE_WORDS)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "items"])
 
-    return docs.select(id_col, text).mapInArrow(run, schema)
+    return docs.join(sized(wanted), "rep", "left_semi").select("rep", "text").mapInArrow(run, schema)
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, text: str, id_col: str, width: int, threshold: tuple[int, int]) -> DataFrame:
-    """Of pairs (a, b) those that link exactly. Sets are made anew, for the texts in question alone."""
-    wanted = stage(pairs.select(F.col("a").alias(id_col)).union(pairs.select(F.col("b").alias(id_col))).distinct())
-    texts = docs.select(id_col, text).join(_sized(wanted), id_col, "left_semi")
-    sets = stage(_sets_of(texts, text, id_col, width))
+def _linked(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Of pairs (a, b) those that link exactly."""
     rows = pairs.join(sets.toDF("a", "ia"), "a").join(sets.toDF("b", "ib"), "b").select("a", "b", "ia", "ib")
     num, den = threshold
 
@@ -206,19 +243,21 @@ def _verify(pairs: DataFrame, docs: DataFrame, text: str, id_col: str, width: in
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(p) + len(q) - len(np.union1d(p, q))
+                common = int((p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q).sum()) if len(p) else 0
                 keep.append(den * common >= num * (len(p) + len(q) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return rows.mapInArrow(run, pairs.select("a", "b").schema).distinct()
 
 
-def _rare_prefixes(sets: DataFrame, bits: int = 20) -> DataFrame:
+def _rare_prefixes(sets: DataFrame, bits: int = 14) -> DataFrame:
     """(rep, items) -> (sig, rep): of each set the rarest quarter of its shingles and one more.
 
-    With one order for all, two sets of similarity 3/4 have one of these in common. The order is by frequency among
-    these sets, counted over all of them in 2 ** bits hashed cells, which is a bounded table whatever the data.
+    With one order for all, two sets of similarity 3/4 have one of these in common, whatever the order. It is by
+    frequency among these sets, counted over all of them in 2 ** bits hashed cells: so many numbers a task at most. A
+    shingle that a small part of the sets share stands out of its cell, whose other shingles are many and even.
     """
+
     def cells(items: np.ndarray) -> np.ndarray:
         return (mix(items) >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -226,7 +265,7 @@ def _rare_prefixes(sets: DataFrame, bits: int = 20) -> DataFrame:
         total = np.zeros(1 << bits, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                np.add.at(total, cells(np.frombuffer(x.as_buffer(), np.uint64)), 1)
+                total += np.bincount(cells(np.frombuffer(x.as_buffer(), np.uint64)), minlength=1 << bits)
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], names=["cell", "n"])
 
@@ -249,77 +288,81 @@ def _rare_prefixes(sets: DataFrame, bits: int = 20) -> DataFrame:
     return sets.mapInArrow(run, T.StructType([T.StructField("sig", T.LongType()), sets.schema["rep"]]))
 
 
-def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, parts: int = 24, group: int = 32, stars: int = 1) -> DataFrame:
+def _open_groups(groups: DataFrame, comps: DataFrame | None, turn: int, stages: Stages) -> DataFrame:
+    """(sig, rep) -> (sig, rep, comp, size, lead, lead_comp) of groups with more than one component; lead is one row of them, drawn anew each turn."""
+    named = groups.withColumn("comp", F.col("rep")) if comps is None else groups.join(sized(comps), groups["rep"] == comps["node"], "left").select("sig", "rep", F.coalesce("comp", "rep").alias("comp"))
+    drawn = F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(turn))).alias("lead")
+    summed = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), drawn).where("lo != hi")
+    leads = stages.keep(summed.select("sig", "size", F.col("lead.rep").alias("lead"), F.col("lead.comp").alias("lead_comp")))
+    out = stages.keep(named.join(sized(leads), "sig"))
+    stages.drop(leads)
+    return out
+
+
+def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, parts: int = 24) -> DataFrame:
     """Rows (id, n_shingles, component_id, class_key): connected components of links with similarity >= 0.75.
 
-    Equal sets are one class, found by grouping on the set's 128-bit key; links are sought between classes only.
-    First, `stars` times, every class meets one class of each group of a common signature, drawn anew each time (a
-    star, so a group of any size costs its own length); groups whose classes are all of one component are done. Groups
-    left open have all pairs of different components compared if they are small. The classes of larger ones, such as
-    those of a passage that very many texts share, meet anew in the groups of their rarest shingles (exact by the prefix
-    principle), where the same steps end with all pairs: no group is capped or sampled.
+    Equal sets are one class, found by grouping on the set's 128-bit key; links are sought between classes only, in the
+    groups of a common signature. First every class meets one drawn class of each of its groups (a star, so that a group
+    of any size costs its own length). Groups whose classes are now of one component are done. All classes of the others,
+    such as those of a passage that very many texts share, meet in the groups of their rarest shingles, which is exact by
+    the prefix principle: again a star, and then all pairs of different components of the groups that are still open,
+    block by block. No group is capped or sampled, and each step is the same at every size. `parts` of a large band's
+    parts are joined; with parts >= all of them (a third of the largest set) the join is exact by the pigeonhole alone.
 
     Null and empty texts have no shingles, link with nothing and are components of their own. Ties don't matter:
     component_id is the smallest id. Repeated rows fall into one class, and rows of one id are one document, so that its
-    texts' links join; rows with a null id link only with equal sets.
-    An empty table gives no rows; further columns are ignored.
+    texts' links join; rows with a null id link only with equal sets. Texts count whole, however long.
+    An empty table gives no rows; further columns are ignored, and an id column may have any name but those of the results.
     """
-    prepare(docs.sparkSession)
-    base = stage(sketches(docs, text, id_col, width, parts).withColumnRenamed(id_col, "rep"))
-    rows = base.select("rep", "key", "n")
-    reps = stage(base.where("key is not null").groupBy("key").agg(F.min("rep").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("sigs").alias("sigs")))
-    known = reps.where("rep is not null")
-    flat = known.select("rep", F.explode("sigs").alias("sig"))
-    multi = stage(flat.groupBy("sig").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead != last").select("sig"))
-    groups = stage(flat.join(_sized(multi), "sig"))
-    check = lambda p: stage(_verify(stage(_hamming_filter(p, known)), docs, text, id_col, width, (75, 100)))
-
-    def open_groups(groups: DataFrame, comps: DataFrame | None) -> DataFrame:
-        """(sig, rep, comp, size, lead) of groups with more than one component; lead is one row, drawn anew each time."""
-        named = groups.withColumn("comp", F.col("rep")) if comps is None else groups.join(comps, groups["rep"] == comps["node"], "left").select("sig", "rep", F.coalesce("comp", "rep").alias("comp"))
-        drawn = F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(turn))).alias("lead")
-        summed = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), drawn)
-        return stage(named.join(summed.where("lo != hi").select("sig", "size", "lead"), "sig"))
-
-    links, comps = None, None
-    for turn in range(stars):
-        now = open_groups(groups, comps)
-        groups = now.select("sig", "rep")
-        pairs = now.where("comp != lead.comp").select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct()
-        new = check(pairs)
-        links = new if links is None else links.unionByName(new)
-        if turn and new.isEmpty():
-            break
-        comps = stage(components(links))
-        release(docs.sparkSession)
-
-    def all_pairs(named: DataFrame) -> DataFrame:
-        own = named.groupBy("rep").agg(F.collect_set("sig").alias("own"))  # of a set, its signatures in open groups
-        return stage(_pairs_in_groups(named.select("sig", "rep", "comp").join(own, "rep").join(known.select("rep", "n", "sketch"), "rep")).distinct())
-
-    turn = stars
-    named = open_groups(groups, comps)
-    more = all_pairs(named.where(F.col("size") <= group))
-    crowd = stage(named.where(F.col("size") > group).select(F.col("rep").alias(id_col)).distinct())
-    if not crowd.isEmpty():
-        rare = stage(_rare_prefixes(stage(_sets_of(docs.select(id_col, text).join(_sized(crowd), id_col, "left_semi"), text, id_col, width))))
-        for turn in range(stars + 1, 2 * stars + 1):
-            now = open_groups(rare, comps)
-            rare = now.select("sig", "rep")
-            new = check(now.where("comp != lead.comp").select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct())
-            links = links.unionByName(new)
-            if new.isEmpty():
-                break
-            comps = stage(components(links))
-            release(docs.sparkSession)
-        more = more.unionByName(all_pairs(open_groups(rare, comps)))
-    extra = stage(_verify(stage(more.distinct()), docs, text, id_col, width, (75, 100)))
-    release(docs.sparkSession)
-    if not extra.isEmpty():
-        comps = stage(components(links.unionByName(extra)))
-    least = reps.select("key", "rep").join(comps, reps["rep"] == comps["node"], "left").select("key", F.coalesce("comp", "rep").alias("component_id"))
-    out = rows.join(least, "key", "left")
-    return out.select(F.col("rep").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep").alias("component_id"), F.col("key").alias("class_key"))
+    threshold = (75, 100)
+    slim = docs.select(F.col(id_col).alias("rep"), F.col(text).alias("text"))
+    with Stages(docs.sparkSession) as stages:
+        base = stages.keep(sketches(slim, width, parts).withColumn("row", F.monotonically_increasing_id()))
+        rows = stages.keep(base.select("rep", "key", "n"))
+        # of equal sets, the row of the smallest id (null only where all are) stands for all
+        first = F.min(F.struct(F.col("rep").isNull().alias("unnamed"), "rep", "row")).alias("first")
+        classes = stages.keep(base.where("key is not null").groupBy("key").agg(first).select("key", "first.rep", "first.row"))
+        known = stages.keep(base.join(sized(classes.where("rep is not null").select("row")), "row", "left_semi").select("rep", "n", "sketch", "sigs"))
+        stages.drop(base)
+        if not rows.where("rep is not null and n > 0").groupBy("rep").agg(F.count(F.lit(1)).alias("times")).where("times > 1").isEmpty():
+            slim = slim.dropDuplicates(["rep", "text"])  # a row that is repeated makes one set
+
+        def confirmed(pairs: DataFrame, sets: DataFrame | None) -> DataFrame:
+            near = stages.keep(_hamming_filter(pairs, known))
+            own = sets
+            if own is None:
+                wanted = stages.keep(near.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+                own = stages.keep(_sets_of(slim, wanted, width))
+                stages.drop(wanted)
+            out = stages.keep(_linked(near, own, threshold))
+            stages.drop(near, *([own] if sets is None else []))
+            return out
+
+        def starred(groups: DataFrame) -> DataFrame:
+            return groups.where("comp != lead_comp").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+
+        groups = _open_groups(known.select("rep", F.explode("sigs").alias("sig")).select("sig", "rep"), None, 0, stages)
+        links = [confirmed(starred(groups), None)]
+        comps = components(links[0], stages)
+        now = _open_groups(groups.select("sig", "rep"), comps, 1, stages)
+        crowd = stages.keep(now.select("rep").distinct())
+        stages.drop(groups, now)
+        sets = stages.keep(_sets_of(slim, crowd, width))
+        rare = _open_groups(_rare_prefixes(sets), comps, 2, stages)
+        links.append(confirmed(starred(rare), sets))
+        stages.drop(comps)
+        comps = components(links[0].unionByName(links[1]), stages)
+        still = _open_groups(rare.select("sig", "rep"), comps, 3, stages)
+        stages.drop(rare)
+        pairs = stages.keep(_pairs_in_groups(still.select("sig", "rep", "comp", "size").join(known.select("rep", "n", "sketch"), "rep")))
+        links.append(confirmed(pairs, sets))
+        if not links[2].isEmpty():
+            stages.drop(comps)
+            comps = components(links[0].unionByName(links[1]).unionByName(links[2]), stages)
+        least = classes.join(sized(comps), classes["rep"] == comps["node"], "left").select("key", F.coalesce("comp", "rep").alias("component_id"))
+        out = rows.join(least, "key", "left")
+        return stages.result(out.select(F.col("rep").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep").alias("component_id"), F.col("key").alias("class_key")))
 
 
 LINK_SQL = r"""

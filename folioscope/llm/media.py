@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, prepare, stage
+from .common import Stages, mix, sized
 from .components import components
 
 BITS = 128
@@ -278,52 +278,47 @@ def copies(images: DataFrame, image: str = "image", id_col: str = "image_id", ta
     are one class, rows of one id are one image whose contents' links join, and rows with a null id link only with equal
     pixels. Ties don't matter; further columns are ignored; an empty table gives no rows.
     """
-    prepare(images.sparkSession)
-    rows = stage(describe(images, image, id_col, **options).withColumnRenamed(id_col, "id"))
-    classes = stage(rows.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("points").alias("points")))
-    known = classes.where("rep is not null").select("rep", "points")
-    schema = T.StructType([known.schema["rep"], T.StructField("entry", T.LongType())])
-
-    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [entries(np.frombuffer(x.as_buffer(), POINT), tables, width, near) for x in batch.column(1)]
-            at = np.repeat(np.arange(len(own)), [len(x) for x in own])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.concatenate([np.zeros(0, np.int64), *own]))], names=schema.names)
-
-    entered = known.mapInArrow(enter, schema)
-    common = stage(entered.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("entry"))
-    shared = stage(entered.join(_sized(common), "entry").select("entry", "rep"))
-    links = tried = comps = None
-    for turn in range(stars + 1):
-        named = shared.withColumn("comp", F.col("rep")) if comps is None else shared.join(comps, shared["rep"] == comps["node"], "left").select("entry", "rep", F.coalesce("comp", "rep").alias("comp"))
-        drawn = F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(turn))).alias("lead")
-        summed = named.groupBy("entry").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), drawn).where("lo != hi").select("entry", "lead")
-        now = stage(named.join(summed, "entry"))
-        shared = now.select("entry", "rep")
-        if turn < stars:
-            both = now.where("comp != lead.comp").select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b"))
+    with Stages(images.sparkSession) as stages:
+        rows = stages.keep(describe(images, image, id_col, **options).withColumnRenamed(id_col, "id"))
+        classes = stages.keep(rows.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("points").alias("points")))
+        known = classes.where("rep is not null").select("rep", "points")
+        schema = T.StructType([known.schema["rep"], T.StructField("entry", T.LongType())])
+
+        def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = [entries(np.frombuffer(x.as_buffer(), POINT), tables, width, near) for x in batch.column(1)]
+                at = np.repeat(np.arange(len(own)), [len(x) for x in own])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.concatenate([np.zeros(0, np.int64), *own]))], names=schema.names)
+
+        entered = known.mapInArrow(enter, schema)
+        common = stages.keep(entered.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("entry"))
+        shared = stages.keep(entered.join(sized(common), "entry").select("entry", "rep"))
+        links = tried = comps = None
+        for turn in range(stars + 1):
+            named = shared.withColumn("comp", F.col("rep")) if comps is None else shared.join(comps, shared["rep"] == comps["node"], "left").select("entry", "rep", F.coalesce("comp", "rep").alias("comp"))
+            drawn = F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(turn))).alias("lead")
+            summed = named.groupBy("entry").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), drawn).where("lo != hi").select("entry", "lead")
+            now = stages.keep(named.join(summed, "entry"))
+            shared = now.select("entry", "rep")
+            if turn < stars:
+                both = now.where("comp != lead.comp").select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b"))
+            else:
+                x, y = now.select("entry", F.col("rep").alias("a"), F.col("comp").alias("ca")), now.select("entry", F.col("rep").alias("b"), F.col("comp").alias("cb"))
+                both = x.join(y, "entry").where("a < b and ca != cb").select("a", "b")
+            pairs = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= meet).select("a", "b")
+            pairs = stages.keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+            tried = pairs if tried is None else tried.unionByName(pairs)
+            new = stages.keep(_confirmed(pairs, known, least))
+            links = new if links is None else links.unionByName(new)
+            if not new.isEmpty():
+                comps = components(links, stages)
+        named = classes.select("key", "rep")
+        if comps is not None:
+            named = named.join(comps, named["rep"] == comps["node"], "left").select("key", F.coalesce("comp", "rep").alias("copy_id"))
         else:
-            x, y = now.select("entry", F.col("rep").alias("a"), F.col("comp").alias("ca")), now.select("entry", F.col("rep").alias("b"), F.col("comp").alias("cb"))
-            both = x.join(y, "entry").where("a < b and ca != cb").select("a", "b")
-        pairs = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= meet).select("a", "b")
-        pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = stage(_confirmed(pairs, known, least))
-        links = new if links is None else links.unionByName(new)
-        if not new.isEmpty():
-            comps = stage(components(links))
-    named = classes.select("key", "rep")
-    if comps is not None:
-        named = named.join(comps, named["rep"] == comps["node"], "left").select("key", F.coalesce("comp", "rep").alias("copy_id"))
-    else:
-        named = named.select("key", F.col("rep").alias("copy_id"))
-    n_points = F.coalesce(F.floor(F.length("points") / POINT.itemsize), F.lit(0)).cast("long").alias("n_points")
-    return rows.select("id", "key", n_points).join(named, "key", "left").select(F.col("id").alias(id_col), "n_points", F.coalesce("copy_id", "id").alias("copy_id"))
-
-
-def _sized(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """A table of a few numbers a row, broadcast if it has at most so many rows, else joined by a shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+            named = named.select("key", F.col("rep").alias("copy_id"))
+        n_points = F.coalesce(F.floor(F.length("points") / POINT.itemsize), F.lit(0)).cast("long").alias("n_points")
+        return stages.result(rows.select("id", "key", n_points).join(named, "key", "left").select(F.col("id").alias(id_col), "n_points", F.coalesce("copy_id", "id").alias("copy_id")))
 
 
 def _confirmed(pairs: DataFrame, points: DataFrame, least: int) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import Stages, sized
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Fractional part of the golden ratio.
@@ -81,11 +81,11 @@ def schedule(goals: DataFrame, n_slots: int, chunk: int = 65_536) -> DataFrame:
     return cut.unionByName(late)
 
 
-def shuffled_stream(sizes: DataFrame, seed: str, buckets: int) -> DataFrame:
+def shuffled_stream(sizes: DataFrame, seed: str, buckets: int, group: int = 4096) -> DataFrame:
     """Adds lo, the place of each row's first token in its source's stream of rows shuffled by md5.
 
-    Prefix sums in two steps, within buckets of the shuffle key and over the buckets of a source, so that a source
-    with a third of all rows is summed by many tasks. Ties of the key go by doc_id and size; rows equal in both may
+    Prefix sums in three steps, within buckets of the shuffle key, over the buckets of a group and over the groups of a
+    source, so that a source with a third of all rows is summed by many tasks. Ties of the key go by doc_id and size; rows equal in both may
     swap, which changes nothing.
     """
     key = F.coalesce(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed))), F.lit(""))
@@ -93,47 +93,54 @@ def shuffled_stream(sizes: DataFrame, seed: str, buckets: int) -> DataFrame:
     keyed = sizes.withColumn("key", key).withColumn("part", part)
     own = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size")
     local = keyed.withColumn("own", F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).withColumn("nth", F.row_number().over(own))
-    parts = keyed.groupBy("source", "part").agg(F.sum("size").alias("n"))
-    parts = parts.select("source", "part", (F.sum("n").over(Window.partitionBy("source").orderBy("part")) - F.col("n")).alias("before"))
-    a, b = local.alias("a"), parts.alias("b")
+    # of buckets, in groups of them; of groups, of which a source has one for some eight million rows
+    parts = keyed.groupBy("source", "part").agg(F.sum("size").alias("n")).withColumn("group", F.floor(F.col("part") / group))
+    groups = parts.groupBy("source", "group").agg(F.sum("n").alias("n"))
+    groups = groups.select("source", "group", (F.sum("n").over(Window.partitionBy("source").orderBy("group")) - F.col("n")).alias("base"))
+    inner = parts.withColumn("inner", F.sum("n").over(Window.partitionBy("source", "group").orderBy("part")) - F.col("n"))
+    x, y = inner.alias("x"), groups.alias("y")
+    before = x.join(y, F.col("x.source").eqNullSafe(F.col("y.source")) & (F.col("x.group") == F.col("y.group"))).select("x.source", "part", (F.col("inner") + F.col("base")).alias("before"))
+    a, b = local.alias("a"), before.alias("b")
     return a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.part") == F.col("b.part"))).select("a.*", (F.col("own") + F.col("before")).alias("lo"))
 
 
 def mix(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, block_tokens: int = 4096, seed: str = "mix", rows_per_bucket: int = 2_000) -> DataFrame:
-    """(doc_id, source, size) -> (doc_id, source, size, source_size, target, taken).
+    """(doc_id, source, size) -> (doc_id, source, size, source_size, target, taken, first_slot, n_blocks).
 
     Each source's rows, shuffled, are a stream of tokens that is read at most `most` times; the schedule's slots cut
     the stream read so far into equal blocks, and a row is taken as many tokens as its places in the stream share with
-    scheduled blocks. Taken tokens of a source sum to its target rounded to a whole token. No row exceeds most times
-    its size, since a target never exceeds most times the source's size.
+    scheduled blocks. The mixture is the blocks in the order of their slots, in which every stretch holds the sources
+    about in proportion to their targets: first_slot is where a row first appears in it (null if nothing is taken), and
+    n_blocks counts the blocks that hold some of it. Taken tokens of a source sum to its target rounded to a whole
+    token. No row exceeds most times its size, since a target never exceeds most times the source's size.
 
     Null sources are a source of their own, the last. Rows of size 0 take 0. Repeated rows count each. An empty table
-    gives no rows. The order in the stream depends on doc_id and size alone, so reruns agree.
+    gives no rows. Very long rows spread over many blocks. Further columns are ignored, whatever their names. The order in
+    the stream depends on doc_id and size alone, so reruns agree.
     """
-    sizes = stage(sizes.select("doc_id", "source", F.col("size").cast("long").alias("size")))
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
-    totals = stage(totals)
-    size = totals.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("n_rows"), F.lit(0)), F.count(F.lit(1))).head()
-    goals = stage(targets(totals.drop("n_rows"), weights, share, float(most)))
-    n_slots = max(1, math.ceil(share * size[0] / block_tokens))
-    slots = schedule(goals, n_slots)
-    stream = stage(shuffled_stream(sizes, seed, max(1, size[1] // rows_per_bucket)))
-    g = F.broadcast(goals) if size[2] <= 100_000 else goals
-    placed = stream.alias("s").join(g.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source"))).select("s.*", "source_size", "target")
-    # the places of a row in each reading of the stream, by the blocks they can touch
-    per_source = slots.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max("hi").alias("tokens"))
-    p = F.broadcast(per_source) if size[2] <= 100_000 else per_source
-    seen = placed.where(F.col("size") > 0).alias("s").join(p.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source"))).select("s.*", "n", "tokens", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("reading"))
-    seen = seen.withColumn("at", F.col("lo") + F.col("reading") * F.col("source_size")).where(F.col("at") < F.col("tokens"))
-    first, last = F.floor(F.col("at") * F.col("n") / F.col("tokens")), F.floor((F.least(F.col("at") + F.col("size"), F.col("tokens")) - 1) * F.col("n") / F.col("tokens"))
-    pieces = seen.withColumn("rank", F.explode(F.sequence(F.greatest(first - 1, F.lit(0)), F.least(last + 1, F.col("n") - 1)))).select("doc_id", "source", "part", "nth", "size", "at", "rank")
-    x, y = pieces.alias("x"), slots.alias("y")
-    common = F.greatest(F.lit(0), F.least(F.col("x.at") + F.col("size"), F.col("hi")) - F.greatest(F.col("x.at"), F.col("y.lo")))
-    got = x.join(y, F.col("x.source").eqNullSafe(F.col("y.source")) & (F.col("x.rank") == F.col("y.rank"))).select("x.source", "part", "nth", common.alias("common"))
-    got = got.groupBy("source", "part", "nth").agg(F.sum("common").alias("taken"))
-    a, b = placed.alias("a"), got.alias("b")
-    same = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.nth") == F.col("b.nth"))
-    return a.join(b, same, "left").select("doc_id", "a.source", "size", F.col("source_size"), "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    with Stages(sizes.sparkSession) as stages:
+        sizes = stages.keep(sizes.select("doc_id", "source", F.col("size").cast("long").alias("size")))
+        totals = stages.keep(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows")))
+        size = totals.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("n_rows"), F.lit(0))).head()
+        goals = stages.keep(targets(totals.drop("n_rows"), weights, share, float(most)))
+        slots = stages.keep(schedule(goals, max(1, math.ceil(share * size[0] / block_tokens))))
+        stream = stages.keep(shuffled_stream(sizes, seed, max(1, size[1] // rows_per_bucket)))
+        stages.drop(sizes)
+        placed = stream.alias("s").join(sized(goals, 100_000).alias("g"), F.col("s.source").eqNullSafe(F.col("g.source"))).select("s.*", "source_size", "target")
+        # the places of a row in each reading of the stream, by the blocks they can touch
+        per_source = stages.keep(slots.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max("hi").alias("tokens")))
+        seen = placed.where(F.col("size") > 0).alias("s").join(sized(per_source, 100_000).alias("p"), F.col("s.source").eqNullSafe(F.col("p.source"))).select("s.*", "n", "tokens", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("reading"))
+        seen = seen.withColumn("at", F.col("lo") + F.col("reading") * F.col("source_size")).where(F.col("at") < F.col("tokens"))
+        first, last = F.floor(F.col("at") * F.col("n") / F.col("tokens")), F.floor((F.least(F.col("at") + F.col("size"), F.col("tokens")) - 1) * F.col("n") / F.col("tokens"))
+        pieces = seen.withColumn("rank", F.explode(F.sequence(F.greatest(first - 1, F.lit(0)), F.least(last + 1, F.col("n") - 1)))).select("source", "part", "nth", "size", "at", "rank")
+        x, y = pieces.alias("x"), slots.alias("y")
+        common = F.least(F.col("x.at") + F.col("size"), F.col("hi")) - F.greatest(F.col("x.at"), F.col("y.lo"))
+        got = x.join(y, F.col("x.source").eqNullSafe(F.col("y.source")) & (F.col("x.rank") == F.col("y.rank"))).select("x.source", "part", "nth", "slot", common.alias("common")).where("common > 0")
+        got = got.groupBy("source", "part", "nth").agg(F.sum("common").alias("taken"), F.min("slot").alias("first_slot"), F.count(F.lit(1)).alias("n_blocks"))
+        a, b = placed.alias("a"), got.alias("b")
+        same = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.nth") == F.col("b.nth"))
+        none = F.lit(0).cast("long")
+        return stages.result(a.join(b, same, "left").select("doc_id", "a.source", "size", "source_size", "target", F.coalesce("taken", none).alias("taken"), "first_slot", F.coalesce("n_blocks", none).alias("n_blocks")))
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
@@ -141,7 +148,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     return mix(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), **options)
 
 
-#: The closed form of what mix() takes, as DuckDB SQL over the table named {docs}.
+#: What mix() takes in closed form, and the schedule point by point, as DuckDB SQL over the table named {docs}.
 MIX_SQL = """
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM {docs}),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
@@ -149,9 +156,17 @@ w AS (SELECT *, CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) %
 f AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS cap_before,
   sum(weight) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_left, 1.5::DOUBLE * (sum(source_size) OVER ()) AS total FROM w),
 l AS (SELECT max((total - cap_before) / weight_left) AS level FROM f WHERE (total - cap_before) / weight_left * weight <= cap),
-t AS (SELECT source, source_size, least(cap, coalesce(level * weight, cap)) AS target FROM f CROSS JOIN l),
-p AS (SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '') || 'mix'), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS lo FROM d)
-SELECT p.doc_id, p.size, t.source_size, t.target,
-  (greatest(0, least(lo + size, round(target)) - lo) + greatest(0, least(lo + source_size + size, round(target)) - lo - source_size))::BIGINT AS taken
-FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
+t AS MATERIALIZED (SELECT source, source_size, least(cap, coalesce(level * weight, cap)) AS target, round(least(cap, coalesce(level * weight, cap)))::BIGINT AS tokens FROM f CROSS JOIN l),
+p AS (SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '') || 'mix'), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS lo FROM d),
+k AS (SELECT source, (upto - target) / whole AS lo, upto / whole AS hi FROM (SELECT source, target, sum(target) OVER (ORDER BY source IS NULL, source) AS upto, sum(target) OVER () AS whole FROM t WHERE tokens > 0) x),
+n AS (SELECT greatest(1, ceil(1.5::DOUBLE * sum(source_size) / 4096))::BIGINT AS slots FROM s),
+j AS (SELECT unnest(range((SELECT slots FROM n))) AS slot),
+u AS (SELECT slot, (slot + 1) * 0.6180339887498949::DOUBLE - floor((slot + 1) * 0.6180339887498949::DOUBLE) AS u FROM j),
+h AS (SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS r, count(*) OVER (PARTITION BY source) AS m FROM u JOIN k ON u >= lo AND u < hi),
+b AS (SELECT h.source, slot, floor((r * tokens)::DOUBLE / m)::BIGINT AS lo, CASE WHEN r + 1 = m THEN tokens ELSE floor(((r + 1) * tokens)::DOUBLE / m)::BIGINT END AS hi FROM h JOIN t ON t.source IS NOT DISTINCT FROM h.source
+  UNION ALL SELECT t.source, slots, 0, tokens FROM t CROSS JOIN n WHERE tokens > 0 AND NOT EXISTS (SELECT 1 FROM h WHERE h.source IS NOT DISTINCT FROM t.source)),
+q AS (SELECT p.doc_id, p.source, p.size, t.source_size, t.target, p.lo,
+  (greatest(0, least(lo + size, tokens) - lo) + greatest(0, least(lo + source_size + size, tokens) - lo - source_size))::BIGINT AS taken FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source)
+SELECT q.doc_id, q.size, q.source_size, q.target, q.taken, CASE WHEN q.size > 0 THEN b.slot END AS first_slot
+FROM q LEFT JOIN b ON coalesce(b.source, '') = coalesce(q.source, '') AND (b.source IS NULL) = (q.source IS NULL) AND q.lo >= b.lo AND q.lo < b.hi AND q.size > 0
 """

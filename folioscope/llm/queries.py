@@ -31,7 +31,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """doc_id, size, source_size, target, taken, and first_slot, the slot of the schedule at which the document enters the mixture."""
+    return mixing.mix_documents(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, stage
+from .common import Stages, sized
 
 ALLOW, BLOCK = "allow", "block"
 
@@ -56,22 +56,27 @@ def host_edges(pages: DataFrame, parents: bool = True) -> DataFrame:
     return edges.where((F.col("src") != F.col("dst")) & (F.col("src") != "") & (F.col("dst") != "")).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, rounds: int = 8, damping: float = 0.85) -> DataFrame:
+def personalised_rank(edges: DataFrame, seeds: DataFrame, stages: Stages, rounds: int = 8, damping: float = 0.85) -> DataFrame:
     """(src, dst, weight), (host, mass) -> (host, score): rank that restarts at the seeds, in proportion to their mass.
 
     A round sums by target with partial sums before the shuffle, so a host that everyone links stays cheap. Mass of
     hosts without links out returns to nobody. Lineage is cut each second round.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
-    steps = stage(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("p")))
-    total = Window.partitionBy()
-    restart = stage(seeds.groupBy("host").agg(F.sum("mass").alias("mass")).where(F.col("mass") > 0).withColumn("mass", F.col("mass") / F.sum("mass").over(total)))
+    steps = stages.keep(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("p")))
+    masses = stages.keep(seeds.groupBy("host").agg(F.sum("mass").alias("mass")).where(F.col("mass") > 0))
+    restart = masses.select("host", (F.col("mass") / masses.agg(F.sum("mass")).scalar()).alias("mass"))
     rank = restart.select("host", F.col("mass").alias("score"))
+    held = None
     for k in range(rounds):
         moved = steps.join(rank, steps["src"] == rank["host"]).select(F.col("dst").alias("host"), (F.lit(damping) * F.col("p") * F.col("score")).alias("score"))
         rank = moved.unionByName(restart.select("host", (F.lit(1 - damping) * F.col("mass")).alias("score"))).groupBy("host").agg(F.sum("score").alias("score"))
-        if k % 2:
-            rank = stage(rank)
+        if k % 2 or k + 1 == rounds:
+            rank = stages.keep(rank)
+            if held is not None:
+                stages.drop(held)
+            held = rank
+    stages.drop(steps, masses)
     return rank
 
 
@@ -81,19 +86,21 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], rounds: int = 8,
     Seeds are the hosts of the pages that rules allow and block, by number of pages. Trust follows links from the
     allowed hosts, distrust follows them backwards from the blocked ones (who links a blocked host is suspect). A page
     without a rule is blocked when its host's distrust exceeds its trust by more than margin and 1e-9 of the larger
-    score: a host's share of all mass shrinks as tables grow, so no fixed number of digits tells it from 0. Null urls, and hosts that nothing reaches, are allowed. Repeated pages count each, an empty
-    table gives no rows, and further columns are ignored.
+    score: a host's share of all mass shrinks as tables grow, so no fixed number of digits tells it from 0. Null urls,
+    and hosts that nothing reaches, are allowed. Of rules that fit, the longest wins, and of equally long ones the first by
+    name. Repeated pages count each and keep their rows, an empty table gives no rows, and further columns are ignored.
     """
-    prepare(pages.sparkSession)
-    pages = pages.select("page_id", "url", "html")
-    found = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    found = stage(found.withColumn("hit", match_rule(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("verdict")))
-    edges = stage(host_edges(pages, parents))
-    hosts = found.where((F.col("host") != "") & F.col("verdict").isNotNull()).groupBy("host", "verdict").agg(F.count(F.lit(1)).cast("double").alias("mass"))
-    trust = personalised_rank(edges, hosts.where(F.col("verdict") == ALLOW), rounds, damping)
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = personalised_rank(back, hosts.where(F.col("verdict") == BLOCK), rounds, damping)
-    scores = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full").na.fill(0.0, ["trust", "distrust"])
-    good, bad = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    by_method = F.when(bad - good > margin + 1e-9 * F.greatest(good, bad), BLOCK).otherwise(ALLOW)
-    return found.join(scores, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", by_method).alias("verdict"), good.alias("trust"), bad.alias("distrust"))
+    with Stages(pages.sparkSession) as stages:
+        pages = pages.select("page_id", "url", "html")
+        found = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+        found = stages.keep(found.withColumn("hit", match_rule(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("verdict")))
+        edges = stages.keep(host_edges(pages, parents))
+        hosts = found.where((F.col("host") != "") & F.col("verdict").isNotNull()).groupBy("host", "verdict").agg(F.count(F.lit(1)).cast("double").alias("mass"))
+        trust = personalised_rank(edges, hosts.where(F.col("verdict") == ALLOW), stages, rounds, damping)
+        back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+        distrust = personalised_rank(back, hosts.where(F.col("verdict") == BLOCK), stages, rounds, damping)
+        scores = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full").na.fill(0.0, ["trust", "distrust"])
+        scores = sized(stages.keep(scores))
+        good, bad = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
+        by_method = F.when(bad - good > margin + 1e-9 * F.greatest(good, bad), BLOCK).otherwise(ALLOW)
+        return stages.result(found.join(scores, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", by_method).alias("verdict"), good.alias("trust"), bad.alias("distrust")))

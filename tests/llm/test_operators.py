@@ -69,7 +69,7 @@ def test_jaccard_crowded_groups(spark):
     rng = random.Random(5)
     common = [f"c{i}" for i in range(40)]
     rows = [[i, " ".join(common + [f"x{rng.randrange(10**6)}" for _ in range(rng.randrange(2, 30))])] for i in range(150)]
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string"), group=4).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == components_by_force(rows)
 
 
@@ -269,10 +269,12 @@ def test_quality(spark):
 
 
 def test_components_of_a_path(spark):
+    from folioscope.llm.common import Stages
     from folioscope.llm.components import components
 
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
-    got = {r["node"]: r["comp"] for r in components(edges).collect()}
+    with Stages(spark) as stages:
+        got = {r["node"]: r["comp"] for r in components(edges, stages).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
