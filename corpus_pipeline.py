@@ -1,4 +1,7 @@
-"""A corpus pipeline: documents -> known language -> one of each near-duplicate group -> no benchmark text -> pseudonyms -> mixture."""
+"""A corpus pipeline: documents -> known language -> one of each near-duplicate group -> no benchmark text -> pseudonyms -> mixture.
+
+Every stage takes any table with the columns of documents; further columns go, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -8,14 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import decontam, jaccard, langid, mixing, pii
-from folioscope.llm.common import prepare, stage, table
+from folioscope.llm.common import Stages, prepare, sized, table
 from folioscope.llm.queries import PII_KEY
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is told with a posterior of at least one half; goes: null, empty and letterless texts."""
+    """Keeps documents whose language is told with a posterior of at least one half; goes: null, empty and letterless texts.
+
+    Learned from the rows with a language, by the operator's rules. Null ids and sources are kept as they are, repeated rows
+    each; ties go to the language first by name; without any language all rows go, and an empty table stays empty.
+    """
     prepare(spark)
     model = langid.fit(docs)
     found = langid.identify(docs.select(*COLUMNS), model)
@@ -23,43 +30,58 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: the one with the smallest doc_id. Documents without words all stay."""
-    prepare(spark)
-    links = jaccard.link(docs.select("doc_id", "text"))
-    links = stage(links)
-    gone = links.where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
-    twice = links.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    kept = docs.select(*COLUMNS).join(_sized(gone), "doc_id", "left_anti").select(*COLUMNS)
-    if twice.isEmpty():
-        return kept
-    # rows that repeat the kept id are copies as well, as long as their words are the same
-    ids = _sized(twice)
-    words = F.trim(F.regexp_replace(F.lower("text"), r"[\x20\x09-\x0D]+", " "))
-    once = kept.join(ids, "doc_id", "left_semi").withColumn("_words", words).dropDuplicates(["doc_id", "_words"]).select(*COLUMNS)
-    return kept.join(ids, "doc_id", "left_anti").select(*COLUMNS).unionByName(once)
-
-
-def _sized(ids: DataFrame) -> DataFrame:
-    """A table of ids, broadcast if it has at most a million rows (8 MB), else joined by a shuffle."""
-    ids = stage(ids)
-    return F.broadcast(ids) if ids.count() <= 1_000_000 else ids
+    """Keeps one document of each group: the one with the smallest doc_id. Documents without words all stay.
+
+    Rows of one id are one document: of those with equal shingles one stays. Of rows with a null id, those that equal a
+    row with an id go, and of the others one of each set of equal shingles stays. An empty table stays empty.
+    """
+    docs = docs.select(*COLUMNS)
+    with Stages(spark) as stages:
+        links = jaccard.link(docs.select("doc_id", "text"))
+        worded = links.where("n_shingles > 0")
+        gone = stages.keep(worded.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+        kept = docs.join(sized(gone), "doc_id", "left_anti").select(*COLUMNS)
+        unnamed = stages.keep(worded.where("doc_id is null").groupBy("class_key").agg(F.max(F.col("component_id").isNotNull()).alias("named")))
+        twice = stages.keep(worded.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+        if unnamed.isEmpty() and twice.isEmpty():
+            return stages.result(kept)
+        again = jaccard.class_keys(kept.join(sized(twice), "doc_id", "left_semi").select(*COLUMNS).unionByName(kept.where("doc_id is null")))
+        again = stages.keep(again.join(sized(unnamed.where("named").select("class_key")), "class_key", "left_anti"))
+        once = again.where("class_key is not null").dropDuplicates(["doc_id", "class_key"]).unionByName(again.where("class_key is null"))
+        rest = kept.where("doc_id is not null").join(sized(twice), "doc_id", "left_anti")
+        return stages.result(rest.select(*COLUMNS).unionByName(once.select(*COLUMNS)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain a benchmark item."""
-    prepare(spark)
-    hits = decontam.find(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(_sized(hits), "doc_id", "left_anti").select(*COLUMNS)
+    """Drops documents that contain a benchmark item.
+
+    Rows go by doc_id, so that rows of one id stay or go together; rows with a null id go by their text. Null and empty
+    texts hold no item and stay, repeated rows each, very long ones count whole; without items all stay.
+    """
+    with Stages(spark) as stages:
+        docs = docs.select(*COLUMNS)
+        items = table(spark, sf_dir, "benchmark")
+        hits = stages.keep(decontam.find(docs.select("doc_id", "text"), items).select("doc_id").distinct())
+        kept = docs.join(sized(hits.where("doc_id is not null")), "doc_id", "left_anti").select(*COLUMNS)
+        if not hits.where("doc_id is null").isEmpty():
+            texts = kept.where("doc_id is null").select("text")
+            bad = stages.keep(decontam.find(texts.where("text is not null").distinct(), items, id_col="text").select("text").distinct())
+            kept = kept.where("doc_id is not null").unionByName(kept.where("doc_id is null").join(bad, "text", "left_anti").select(*COLUMNS))
+        return stages.result(kept)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal values; n_chars follows the text."""
+    """Replaces personal values; n_chars follows the text, and stays null where it is. All rows stay, null texts as they are."""
     out = pii.pseudonymise(docs.select(*COLUMNS), PII_KEY, spans=None)
     return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken of the mixture of what is left."""
+    """doc_id, source, size, source_size, target, taken, first_slot and n_blocks of the mixture of what is left.
+
+    One row per row: null sources are a source of their own, null and empty texts take nothing, repeats count each, and an
+    empty table gives no rows.
+    """
     return mixing.mix_documents(docs)
 
 
@@ -76,10 +98,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, each over a checkpoint of the one before."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, f) in enumerate(STAGES):
-        docs = f(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stage(docs)
-    return docs
+    """Applies the stages to documents, each over a table of what the one before left."""
+    with Stages(spark) as stages:
+        docs = table(spark, sf_dir, "documents")
+        for k, (_, f) in enumerate(STAGES):
+            now = f(spark, docs, sf_dir)
+            if k + 1 == len(STAGES):
+                return stages.result(now)
+            now = stages.keep(now)
+            stages.drop(docs)
+            docs = now
