@@ -26,7 +26,11 @@ from pyspark.sql import types as T
 from .common import SPACE_WORDS, Stages, batch_words, mix, sized
 from .components import components
 
-SKETCH_SCHEMA = "key binary, n long, sketch binary, sigs array<long>"
+SKETCH_SCHEMA = "key binary, n long, sketch binary, short binary, sigs array<long>"
+#: Bytes at most of a short sketch, which is a sketch folded: rows of groups carry it, whatever the size of the set.
+SHORT = 256
+#: Groups of a row that its rows carry.
+HEAD = 8
 
 
 def shingle_set(words: np.ndarray, width: int = 5) -> np.ndarray:
@@ -94,21 +98,23 @@ def part_signatures(items: np.ndarray, parts: int = 24) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int = 5, parts: int = 24) -> DataFrame:
-    """(rep, text) -> (rep, key, n, sketch, sigs), one row per row; key and sketch are null for texts without words."""
+    """(rep, text) -> (rep, key, n, sketch, short, sigs), one row per row; key and sketches are null for texts without words."""
     schema = T.StructType([docs.schema["rep"], *T.StructType.fromDDL(SKETCH_SCHEMA).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, bits, sigs = [], [], [], []
+            keys, sizes, bits, short, sigs = [], [], [], [], []
             for words in batch_words(batch.column(1), SPACE_WORDS):
                 items = shingle_set(words, width)
                 sizes.append(len(items))
                 keys.append(set_key(items) if len(items) else None)
-                bits.append(filter_sketch(items, sketch_bits(len(items))).tobytes() if len(items) else None)
+                sketch = filter_sketch(items, sketch_bits(len(items)))
+                bits.append(sketch.tobytes() if len(items) else None)
+                short.append(_fold(sketch[None], min(len(sketch), SHORT)).tobytes() if len(items) else None)
                 sigs.append(part_signatures(items, parts))
             off = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
             flat = pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(off), flat)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(short, pa.binary()), pa.ListArray.from_arrays(pa.array(off), flat)], names=schema.names)
 
     return docs.select("rep", "text").mapInArrow(run, schema)
 
@@ -127,7 +133,7 @@ def class_keys(docs: DataFrame, text: str = "text", width: int = 5) -> DataFrame
 
 
 def _fold(x: np.ndarray, words: int) -> np.ndarray:
-    """Sketches (rows x 64-bit words) of more bits as ones of fewer words: bits are dealt by the low bits of a hash, so halves XOR."""
+    """Sketches (rows x words) of more bits as ones of fewer words: bits are dealt by the low bits of a hash, so halves XOR."""
     return np.bitwise_xor.reduce(x.reshape(len(x), -1, words), axis=1)
 
 
@@ -182,43 +188,54 @@ def _block_pairs(n: np.ndarray, comp: np.ndarray, side: np.ndarray, sketch: list
 
 
 def _pairs_in_groups(rows: DataFrame, block: int = 512) -> DataFrame:
-    """(sig, rep, comp, size, n, sketch) -> distinct pairs (a, b) of one group and different components that pass the sketch filter.
+    """(sig, rep, comp, size, n, short, head) -> pairs (a, b) of one group and different components that pass the short sketch.
 
     A group of `size` rows is dealt by a hash of the row to blocks of about `block` rows, and each pair of its blocks is
     a unit of work of its own: units of one hot group go to many tasks, none holds more than two blocks, and nothing but
-    pairs that pass is written.
+    pairs that pass is written. head holds a row's first groups; a pair is left to the first group that both heads have,
+    so that few are written more than once.
     """
     blocks = F.ceil(F.col("size") / F.lit(block))
-    dealt = rows.withColumn("own", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    unit = dealt.select("sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", F.xxhash64("comp").alias("comp"), "n", "sketch")
+    dealt = rows.withColumn("side", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    unit = dealt.select("sig", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", F.xxhash64("comp").alias("comp"), "n", "rep", "short", "head")
     ordered = unit.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
-    schema = T.StructType([T.StructField("a", rows.schema["rep"].dataType), T.StructField("b", rows.schema["rep"].dataType)])
+    kind = rows.schema["rep"].dataType
+    none = np.iinfo(np.int64).max
+
+    def pairs_of(numbers: list[np.ndarray], reps: list[list], shorts: list[list], heads: list[np.ndarray]) -> tuple[list, list]:
+        """Of one unit, given in pieces of batches."""
+        sig, _, _, side, comp, n = np.concatenate(numbers, axis=1)
+        rep, short, head = [x for y in reps for x in y], [np.frombuffer(x, np.uint64) for y in shorts for x in y], np.concatenate(heads)
+        i, j = _block_pairs(n, comp, side, short)
+        x, y = head[i], head[j]
+        before = ((x[:, :, None] == y[:, None, :]) & (x < sig[0])[:, :, None]).any((1, 2))
+        both = [(min(rep[p], rep[q]), max(rep[p], rep[q])) for p, q in zip(i[~before], j[~before], strict=True)]
+        return [p for p, _ in both], [q for _, q in both]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def done() -> tuple[list, list]:
-            if len(held) < 2:
-                return [], []
-            own, rep, comp, n, sketch = zip(*held, strict=True)
-            i, j = _block_pairs(np.array(n), np.array(comp), np.array(own), [np.frombuffer(x, np.uint64) for x in sketch])
-            both = [(min(rep[x], rep[y]), max(rep[x], rep[y])) for x, y in zip(i, j, strict=True)]
-            return [x for x, _ in both], [y for _, y in both]
-
+        held: list[tuple] = []
         for batch in batches:
+            numbers = np.stack([batch.column(k).to_numpy() for k in range(6)])
+            reps, shorts = batch.column(6).to_pylist(), batch.column(7).to_pylist()
+            at = batch.column(8).offsets.to_numpy()
+            heads = np.full((batch.num_rows, HEAD), none)
+            size = np.diff(at)
+            heads[np.arange(HEAD) < size[:, None]] = batch.column(8).values.to_numpy()[at[0] : at[-1]]
+            cuts = [0, *(np.flatnonzero((np.diff(numbers[:3], axis=1) != 0).any(0)) + 1).tolist(), batch.num_rows]
             a, b = [], []
-            kind = batch.schema.field(4).type
-            for row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
-                if row[:3] != now:
-                    x, y = done()
-                    a, b, now, held = a + x if x else a, b + y if y else b, row[:3], []
-                held.append(row[3:])
-            yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and (held[0][0][:3, 0] != numbers[:3, lo]).any():
+                    if len(held) > 1 or len(held[0][1]) > 1:
+                        p, q = pairs_of(*zip(*held, strict=True))
+                        a, b = a + p, b + q
+                    held = []
+                held.append((numbers[:, lo:hi], reps[lo:hi], shorts[lo:hi], heads[lo:hi]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, batch.schema.field(6).type), pa.array(b, batch.schema.field(6).type)], names=["a", "b"])
         if held:
-            x, y = done()
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind), pa.array(y, kind)], names=["a", "b"])
+            p, q = pairs_of(*zip(*held, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(p, batch.schema.field(6).type), pa.array(q, batch.schema.field(6).type)], names=["a", "b"])
 
-    return ordered.mapInArrow(run, schema).distinct()
+    return ordered.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -291,9 +308,9 @@ def _rare_prefixes(sets: DataFrame, bits: int = 14) -> DataFrame:
 def _open_groups(groups: DataFrame, comps: DataFrame | None, turn: int, stages: Stages) -> DataFrame:
     """(sig, rep) -> (sig, rep, comp, size, lead, lead_comp) of groups with more than one component; lead is one row of them, drawn anew each turn."""
     named = groups.withColumn("comp", F.col("rep")) if comps is None else groups.join(sized(comps), groups["rep"] == comps["node"], "left").select("sig", "rep", F.coalesce("comp", "rep").alias("comp"))
-    drawn = F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(turn))).alias("lead")
-    summed = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), drawn).where("lo != hi")
-    leads = stages.keep(summed.select("sig", "size", F.col("lead.rep").alias("lead"), F.col("lead.comp").alias("lead_comp")))
+    draw = F.xxhash64("rep", F.lit(turn))
+    summed = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.min_by("rep", draw).alias("lead"), F.min_by("comp", draw).alias("lead_comp"))
+    leads = stages.keep(summed.where("lo != hi").select("sig", "size", "lead", "lead_comp"))
     out = stages.keep(named.join(sized(leads), "sig"))
     stages.drop(leads)
     return out
@@ -307,7 +324,7 @@ def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int
     of any size costs its own length). Groups whose classes are now of one component are done. All classes of the others,
     such as those of a passage that very many texts share, meet in the groups of their rarest shingles, which is exact by
     the prefix principle: again a star, and then all pairs of different components of the groups that are still open,
-    block by block. No group is capped or sampled, and each step is the same at every size. `parts` of a large band's
+    block by block. A group of two is done with its star. No group is capped or sampled, and each step is the same at every size. `parts` of a large band's
     parts are joined; with parts >= all of them (a third of the largest set) the join is exact by the pigeonhole alone.
 
     Null and empty texts have no shingles, link with nothing and are components of their own. Ties don't matter:
@@ -323,7 +340,7 @@ def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int
         # of equal sets, the row of the smallest id (null only where all are) stands for all
         first = F.min(F.struct(F.col("rep").isNull().alias("unnamed"), "rep", "row")).alias("first")
         classes = stages.keep(base.where("key is not null").groupBy("key").agg(first).select("key", "first.rep", "first.row"))
-        known = stages.keep(base.join(sized(classes.where("rep is not null").select("row")), "row", "left_semi").select("rep", "n", "sketch", "sigs"))
+        known = stages.keep(base.join(sized(classes.where("rep is not null").select("row")), "row", "left_semi").select("rep", "n", "sketch", "short", "sigs"))
         stages.drop(base)
         if not rows.where("rep is not null and n > 0").groupBy("rep").agg(F.count(F.lit(1)).alias("times")).where("times > 1").isEmpty():
             slim = slim.dropDuplicates(["rep", "text"])  # a row that is repeated makes one set
@@ -342,11 +359,14 @@ def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int
         def starred(groups: DataFrame) -> DataFrame:
             return groups.where("comp != lead_comp").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
 
-        groups = _open_groups(known.select("rep", F.explode("sigs").alias("sig")).select("sig", "rep"), None, 0, stages)
+        flat = known.select(F.explode("sigs").alias("sig"), "rep")
+        multi = stages.keep(flat.groupBy("sig").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("sig"))
+        groups = _open_groups(flat.join(sized(multi), "sig", "left_semi"), None, 0, stages)
+        stages.drop(multi)
         links = [confirmed(starred(groups), None)]
         comps = components(links[0], stages)
         now = _open_groups(groups.select("sig", "rep"), comps, 1, stages)
-        crowd = stages.keep(now.select("rep").distinct())
+        crowd = stages.keep(now.where("size > 2").select("rep").distinct())  # of two, the star has tried the only pair
         stages.drop(groups, now)
         sets = stages.keep(_sets_of(slim, crowd, width))
         rare = _open_groups(_rare_prefixes(sets), comps, 2, stages)
@@ -355,7 +375,9 @@ def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int
         comps = components(links[0].unionByName(links[1]), stages)
         still = _open_groups(rare.select("sig", "rep"), comps, 3, stages)
         stages.drop(rare)
-        pairs = stages.keep(_pairs_in_groups(still.select("sig", "rep", "comp", "size").join(known.select("rep", "n", "sketch"), "rep")))
+        still = still.where("size > 2").select("sig", "rep", "comp", "size")
+        heads = still.groupBy("rep").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, HEAD).alias("head"))
+        pairs = stages.keep(_pairs_in_groups(still.join(known.select("rep", "n", "short").join(heads, "rep"), "rep")).distinct())
         links.append(confirmed(pairs, sets))
         if not links[2].isEmpty():
             stages.drop(comps)
