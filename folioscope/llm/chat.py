@@ -76,7 +76,8 @@ def format_chat(turns: DataFrame, trained_role: str = "assistant", part_chars: i
     than part_chars, when whole turns go on in further parts, to be joined in the order of part: memory stays bounded
     for a conversation of any length. loss holds the code point ranges, within the part, of the trained role's escaped
     texts. Null roles and texts are empty; a null conv_id is a conversation of its own. Rows of a conversation lie
-    together in one partition, in order; no two conversations depend on each other. Further columns are ignored.
+    together in one partition, in order; no two conversations depend on each other. Repeated rows are turns of their own,
+    an empty table gives no rows, and further columns are ignored, whatever their names.
     """
     prepare(turns.sparkSession)
     clean = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -159,8 +160,8 @@ DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """FORMATTED -> DIGEST, by reading the formatted texts and masks back, part after part."""
-    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "part") if "part" not in formatted.columns else formatted
+    """FORMATTED -> DIGEST, by reading the formatted texts and masks back, part after part, in whatever order they are stored."""
+    ordered = formatted.select("conv_id", "part", "formatted", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, begun, state = None, False, None

@@ -26,12 +26,12 @@ BITMAP_BITS = 22
 
 @functools.cache
 def _plain() -> np.ndarray:
-    """Letters and digits in lower case as 16-bit codes, all else a blank."""
-    table = np.full(0x110000, 32, np.uint16)
+    """Letters and digits in lower case, all else a blank."""
+    table = np.full(0x110000, 32, np.uint32)
     for c in range(0x110000):
         x = chr(c)
         if x.isalnum():
-            table[c] = ord(x.lower()[0]) & 0xFFFF
+            table[c] = ord(x.lower()[0])
     return table
 
 
@@ -47,7 +47,7 @@ def normal(text: str | None, piece: int = 1 << 20) -> np.ndarray:
         if len(x):
             last = int(x[-1])
             out.append(x)
-    x = np.concatenate(out) if out else np.zeros(0, np.uint16)
+    x = np.concatenate(out) if out else np.zeros(0, np.uint32)
     return x[:-1] if len(x) and x[-1] == 32 else x
 
 
@@ -110,7 +110,45 @@ def embed(x: np.ndarray, start: np.ndarray, stop: np.ndarray, bits: np.ndarray,
     return mix(sig).T
 
 
-def build(items: list[tuple[int, str | None]], tolerance: float, walks: int, per_walk: int, sampled: int, seed: int = 11) -> Index:
+def edited(x: np.ndarray, edits: int, rng: np.random.RandomState) -> np.ndarray:
+    """x after so many random substitutions, insertions and deletions of codes."""
+    out = x.tolist()
+    for _ in range(edits):
+        kind, at = rng.randint(3), rng.randint(len(out))
+        code = int(x[rng.randint(len(x))])
+        if kind == 0:
+            out[at] = code
+        elif kind == 1:
+            out.insert(at, code)
+        elif len(out) > 1:
+            del out[at]
+    return np.array(out, x.dtype)
+
+
+def _walks(length: int, own: list[np.ndarray], edits: list[int], target_recall: float, per_walk: int, sampled: int, most_walks: int, rng: np.random.RandomState, trials: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """bits and picks of as many walks as find target_recall of the class's own items after as many random edits as are allowed.
+
+    More walks are drawn until all but that share of the trials have a signature in common with their item.
+    """
+    picked = rng.randint(len(own), size=trials)
+    tried, after = [own[i] for i in picked], [edited(own[i], edits[i], rng) for i in picked]
+    flat = [np.concatenate(x) for x in (tried, after)]
+    start = [np.concatenate([[0], np.cumsum([len(y) for y in x])]) for x in (tried, after)]
+    missed, all_bits, all_picks, steps = np.ones(trials, bool), [], [], 2 * length
+    while len(all_bits) < most_walks and (missed.mean() > 1 - target_recall or not all_bits):
+        bits = rng.randint(0, 2, (steps, 1024)).astype(np.int64)
+        bits[:, 0] = 1
+        picks = np.zeros((steps, per_walk), bool)
+        for s in range(per_walk):
+            picks[rng.choice(steps, min(sampled, steps), replace=False), s] = True
+        a, b = (embed(x, at[:-1], np.minimum(at[:-1] + length, at[1:]), bits, picks) for x, at in zip(flat, start, strict=True))
+        missed &= (a != b).all(1)
+        all_bits.append(bits)
+        all_picks.append(picks)
+    return np.array(all_bits), np.array(all_picks)
+
+
+def build(items: list[tuple[int, str | None]], tolerance: float, target_recall: float, per_walk: int, sampled: int, most_walks: int = 64, seed: int = 11) -> Index:
     ids, codes = [], []
     for i, text in items:
         x = normal(text)
@@ -127,16 +165,10 @@ def build(items: list[tuple[int, str | None]], tolerance: float, walks: int, per
         length = len(codes[order[0]])
         own = [i for i in order if len(codes[i]) <= max(length + 4, length * 5 // 4)]
         order = order[len(own) :]
-        steps = 2 * length
-        bits = rng.randint(0, 2, (walks, steps, 1024)).astype(np.int64)
-        bits[:, :, 0] = 1
-        picks = np.zeros((walks, steps, per_walk), bool)
-        for w in range(walks):
-            for s in range(per_walk):
-                picks[w, rng.choice(steps, min(sampled, steps), replace=False), s] = True
+        bits, picks = _walks(length, [codes[i] for i in own], [edits[i] for i in own], target_recall, per_walk, sampled, most_walks, rng)
         flat = np.concatenate([codes[i] for i in own])
         start = np.concatenate([[0], np.cumsum([len(codes[i]) for i in own])])[:-1]
-        got = np.concatenate([embed(flat, start, start + length, bits[w], picks[w]) for w in range(walks)], axis=1)
+        got = np.concatenate([embed(flat, start, start + length, bits[w], picks[w]) for w in range(len(bits))], axis=1)
         by = [np.argsort(got[:, s], kind="stable") for s in range(got.shape[1])]
         most = max(edits[i] for i in own)
         classes.append(Class(
@@ -220,23 +252,29 @@ def _search(x: np.ndarray, cuts: np.ndarray, index: Index) -> Iterator[tuple[int
 RESULT = "item_id long, edits int, item_chars int, end_char long"
 
 
-def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id", tolerance: float = 0.06, walks: int = 4, per_walk: int = 8, sampled: int = 6, block_chars: int = 4_000_000) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id", tolerance: float = 0.06, target_recall: float = 0.97, per_walk: int = 8, sampled: int = 6, block_chars: int = 4_000_000) -> DataFrame:
     """(id, text), (item_id, text) -> (id, item_id, edits, item_chars, end_char): every row and the items it contains.
 
     Texts and items are compared as lower-case letters and digits with one blank between words. A row contains an item
     if some stretch of it is within tolerance * length edits of the item; items too short for that many edits beside a
     common run of 12 characters allow fewer. Candidates: windows from each word's start that share with the items as many
-    12-grams as so many edits leave at least (exact), and of these the windows with a signature of walks * per_walk in
-    common with an item, each of `sampled` places of a walk. The edits of candidates are computed exactly. With the
-    defaults and random character edits, all of 40 items with 3 % of edits were found, and 9 in 10 with 5 and 6 %.
+    12-grams as so many edits leave at least (exact), and of these the windows that have a signature in common with an
+    item, each of `sampled` places of a CGK walk. Walks are drawn for items of about one length, `per_walk` signatures each,
+    until target_recall of trials with as many random edits as are allowed have one (64 walks at most). The edits of
+    candidates are computed exactly, code point by code point.
 
     Items are the query set: blocks of block_chars characters are broadcast one after the other. Null and empty texts
     and items with under 12 letters, digits and blanks match nothing. Very long texts are searched in overlapping slices.
-    A repeated row or item is matched again each time. Without items there are no rows.
+    A repeated row or item is matched again each time; of places with equally few edits the first counts. Without items there
+    are no rows, nor from an empty table. Further columns are ignored; an id column named like a result column comes out as
+    id_ with that name.
     """
     spark = docs.sparkSession
     prepare(spark)
-    schema = T.StructType([*docs.select(id_col).schema.fields, *T.StructType.fromDDL(RESULT).fields])
+    results = T.StructType.fromDDL(RESULT).fields
+    docs = docs.select(F.col(id_col).alias(f"id_{id_col}" if id_col in [f.name for f in results] else id_col), F.col(text).alias("_text"))
+    id_col, text = docs.columns
+    schema = T.StructType([docs.schema.fields[0], *results])
     sized = benchmark.where(F.col("text").isNotNull()).select("item_id", "text", F.length("text").alias("n"))
     total = sized.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
     n_blocks = max(1, -(-total // block_chars))
@@ -245,7 +283,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str
         part = sized if n_blocks == 1 else sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block)
         items = [(r["item_id"], r["text"]) for r in part.select("item_id", "text").collect()]
         items.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        own = _find_block(docs, text, id_col, spark.sparkContext.broadcast(build(items, tolerance, walks, per_walk, sampled)), schema)
+        own = _find_block(docs, text, id_col, spark.sparkContext.broadcast(build(items, tolerance, target_recall, per_walk, sampled)), schema)
         out = own if out is None else out.unionByName(own)
     return out
 
@@ -262,7 +300,7 @@ def _find_block(docs: DataFrame, text: str, id_col: str, index, schema: T.Struct
             parts: list[np.ndarray] = []
             cuts = [0]
             for _, _, x in rows:
-                parts += [x, np.array([0], np.uint16)]
+                parts += [x, np.array([0], np.uint32)]
                 cuts.append(cuts[-1] + len(x) + 1)
             for r, i, edits, end in _search(np.concatenate(parts), np.array(cuts), idx):
                 row, offset, _ = rows[r]

@@ -25,13 +25,13 @@ PATTERN = re.compile(
     r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}\b)"
     r"|(?<![A-Za-z0-9])(?:"
     r"(?P<key>[0-9a-f]{32,128}(?![A-Za-z0-9])|[0-9A-F]{32,128}(?![A-Za-z0-9]))"
-    r"|(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
-    r"|(?P<iso>\d{4}-\d{2}-\d{2}(?![0-9-]))"
-    r"|(?P<slash>\d{2}/\d{2}/\d{4}(?![0-9/]))"
-    r"|(?P<ssn>\d{3}-\d{2}-\d{4}(?![0-9-]))"
-    r"|(?P<ip>\d{1,3}(?:\.\d{1,3}){3}(?![0-9])(?!\.\d))"
-    r"|(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?![0-9-]))"
-    r"|(?P<card>\d{4}(?:[ -]\d{4}){3}(?![0-9-])|\d{13,19}(?![0-9]))"
+    r"|(?P<iban>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
+    r"|(?P<iso>[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-]))"
+    r"|(?P<slash>[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/]))"
+    r"|(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"
+    r"|(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])(?!\.[0-9]))"
+    r"|(?P<phone>(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9-]))"
+    r"|(?P<card>[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9-])|[0-9]{13,19}(?![0-9]))"
     r")"
 )
 
@@ -103,12 +103,12 @@ def _spell(text: str, key: bytes, tweak: str, back: bool, hexes: str = "", valid
 
 
 def _digits(s: str) -> str:
-    return re.sub(r"\D", "", s)
+    return re.sub(r"[^0-9]", "", s)
 
 
 def _fill(shape: str, digits: str) -> str:
     it = iter(digits)
-    return re.sub(r"\d", lambda _: next(it), shape)
+    return re.sub(r"[0-9]", lambda _: next(it), shape)
 
 
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -118,11 +118,13 @@ def _ssn(s: str) -> bool:
     return s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000"
 
 
-def _date(day: datetime.date, key: bytes, tweak: str, back: bool) -> datetime.date | None:
+def _date(day: datetime.date, key: bytes, back: bool) -> datetime.date | None:
+    """Permutes dates with a day up to 12 among themselves, and the others: an order of day and month that can be told stays so."""
     n, size = day.toordinal() - _FIRST, _LAST - _FIRST + 1
     if not 0 <= n < size:
         return None
-    return datetime.date.fromordinal(_FIRST + walk(n, 271, 270, key, tweak, lambda v: v < size, back))
+    early = day.day <= 12
+    return datetime.date.fromordinal(_FIRST + walk(n, 271, 270, key, "date", lambda v: v < size and (datetime.date.fromordinal(_FIRST + v).day <= 12) == early, back))
 
 
 def _parsed(s: str, order: str) -> datetime.date | None:
@@ -149,22 +151,13 @@ def pseudonym(kind: str, s: str, key: bytes, back: bool = False) -> tuple[str, s
         body = _spell(body, key, country, back)
         new = iter(f"{country}{98 - mod97(country, body):02d}{body}")
         return kind, "".join(" " if c == " " else next(new) for c in s)
-    if kind == "iso":
-        day = _parsed(s, "%Y-%m-%d")
-        new = day and _date(day, key, kind, back)
-        return ("date", f"{new:%Y-%m-%d}") if new else None
-    if kind == "slash":
-        order = "%d/%m/%Y"  # day first where that is a date, which its pseudonym is again
-        day = _parsed(s, order)
-        if day:
-            new = _date(day, key, order, back)
-        else:
-            order = "%m/%d/%Y"
-            day = _parsed(s, order)
-            new = day
-            while day and (new := _date(new, key, order, back)) and new.day <= 12:
-                pass
-        return ("date", new.strftime(order)) if new else None
+    if kind in ("iso", "slash"):
+        # day first where that is a date, which its pseudonym is again
+        for order in ("%Y-%m-%d",) if kind == "iso" else ("%d/%m/%Y", "%m/%d/%Y"):
+            if day := _parsed(s, order):
+                new = _date(day, key, back)
+                return ("date", new.strftime(order)) if new else None
+        return None
     if kind == "ssn":
         return (kind, _spell(s, key, kind, back, valid=_ssn)) if _ssn(s) else None
     if kind == "ip":
@@ -174,8 +167,9 @@ def pseudonym(kind: str, s: str, key: bytes, back: bool = False) -> tuple[str, s
         v = int.from_bytes(bytes(int(p) for p in parts), "big")
         return kind, ".".join(map(str, permute(v, 1 << 16, 1 << 16, key, kind, back).to_bytes(4, "big")))
     if kind == "phone":
-        head, body = ("", s) if s[0] != "+" else (re.match(r"\+\d{1,3}", s)[0], s[re.match(r"\+\d{1,3}", s).end() :])
-        return kind, head + _fill(body, _spell(_digits(body), key, head, back))
+        country = re.match(r"\+[0-9]{1,3}", s)
+        head = country[0] if country else ""
+        return kind, head + _fill(s[len(head) :], _spell(_digits(s[len(head) :]), key, kind, back))
     digits = _digits(s)
     if not luhn(digits) or len(set(digits)) == 1:
         return None
@@ -205,8 +199,11 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", spans: str | N
     """Replaces personal values in a text column; spans, if named, becomes the list of (kind, start, stop).
 
     Kinds: e-mail (local part), card of 13 to 19 digits (Luhn holds before and after), phone, SSN, IBAN (mod 97), IPv4, calendar date from 1900 to 2099, and hexadecimal keys of 32 digits or more. Values that look
-    alike but aren't valid stay. Whole texts, however long; null texts stay null and have no spans, empty ones stay
-    empty. Rows, order and other columns are unchanged.
+    alike but aren't valid stay; digits are 0 to 9. The pseudonym depends on the normalised value alone: a date, phone,
+    card or IBAN has the same one in all its spellings and documents. Where patterns overlap, the first by place wins, and
+    at one place the first by the order above. Whole texts, however long; null texts stay null and have no spans, empty
+    ones stay empty. Rows (repeated ones too), order and other columns are unchanged, a column named like `spans` is
+    replaced, and an empty table stays empty.
     """
     prepare(docs.sparkSession)
     if spans:

@@ -12,8 +12,11 @@ from .common import prepare, table
 
 #: The rules of op4's contract, as (verdict, host, path).
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "example.net", "/de/8"), ("allow", "net", "/de/"), ("block", "org", "/es/")]
-#: The key of the pseudonyms; a deployment passes its own secret.
-PII_KEY = hashlib.sha256(b"folioscope demonstration key").digest()
+
+
+def pii_key(spark: SparkSession) -> bytes:
+    """The key of the pseudonyms, from the secret in the setting folioscope.pii.secret; a demonstration key where it is unset."""
+    return hashlib.sha256(spark.conf.get("folioscope.pii.secret", "demonstration").encode()).digest()
 
 
 def _remainder(n: int) -> Column:
@@ -68,7 +71,7 @@ def op8_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text with pseudonyms, and the kinds and places of the replaced values."""
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY).select("doc_id", "text", F.size("pii").alias("n_replaced"), "pii")
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark)).select("doc_id", "text", F.size("pii").alias("n_replaced"), "pii")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

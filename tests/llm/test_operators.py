@@ -106,7 +106,9 @@ def test_language_id(spark):
     none = langid.fit(docs.limit(0))
     assert {r["lang_pred"] for r in langid.identify(docs, none).collect()} == {"und"}
     long = "ab, Zé " * 3000
-    assert sorted(np.concatenate(list(langid.buckets(long, 12))).tolist()) == sorted(np.concatenate(list(langid.buckets(long, 12, piece=97))).tolist())
+    tables = langid.alphabet()
+    whole = sorted(langid.grams([long], 12, tables).ids.tolist())
+    assert all(sorted(np.concatenate(list(langid.buckets(long, 12, tables, piece))).tolist()) == whole for piece in (97, 1000, 1 << 20))
 
 
 def test_mixing_properties(spark):
@@ -285,3 +287,94 @@ def test_pipeline_tiny(spark, tmp_path, n):
     spark.createDataFrame([(1, "the words of one text", "en", "s", 21)][:n], DOC).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "nothing of that kind is in here at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == n
+
+
+def test_language_against_brute_force(spark):
+    """Naive Bayes over n-grams of single texts, in plain Python."""
+    import math
+    import unicodedata
+    from collections import Counter
+
+    rng = random.Random(4)
+    heads = {"aa": "abcde ", "bb": "cdefg ", "cc": "xyzab "}
+    rows = [(i, "".join(rng.choice(heads[lang]) for _ in range(rng.randrange(0, 40))) + rng.choice(["", " 12", "É!", "\n"]), lang) for i, lang in enumerate(list(heads) * 12)]
+    rows += [rows[3], (90, None, "aa"), (91, "", "bb"), (92, "123 ?", "cc"), (93, "abc", None), (94, "\u0301", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    bits = 13
+
+    def own(text):
+        flat = " " + "".join(c.lower()[0] if unicodedata.category(c)[0] in "LM" else " " for c in text) + " "
+        flat = re.sub(" +", " ", flat)
+        for k in (1, 2, 3):
+            for i in range(len(flat) - k + 1):
+                h = 0
+                for c in flat[i : i + k]:
+                    h = (h * 0x100000001B3 + ord(c)) % 2**64
+                yield (h + k) * 0x9E3779B97F4A7C15 % 2**64 >> (64 - bits)
+
+    count = {x: Counter() for x in heads}
+    for _, t, x in rows:
+        if x and t is not None:
+            count[x].update(own(t))
+    model = langid.fit(docs, bits=bits)
+    for r in langid.identify(docs, model).collect():
+        text = r["text"]
+        if not any(unicodedata.category(c)[0] == "L" for c in text or ""):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        scores = {x: sum(math.log(count[x][b] + 0.5) - math.log(sum(count[x].values()) + 0.5 * 2**bits) for b in own(text)) for x in heads}
+        best = max(sorted(scores), key=scores.get)
+        assert r["lang_pred"] == best or abs(scores[r["lang_pred"]] - scores[best]) < 1e-9
+        assert abs(r["score"] - 1 / sum(math.exp(v - scores[best]) for v in scores.values())) < 1e-9
+
+
+def test_pii_against_an_ungated_mask(spark):
+    rows = [(1, "please write to bob.smith@example.com for details"), (2, "on 2001-03-04, 04/03/2001 and 03/25/2001 or 2001-03-25"), (3, "+1 743-555-3824 or (743) 555-3824"), (4, "\u0661\u0662\u0663-\u0664\u0665-\u0666\u0667\u0668\u0669 123-45-6789"), (4, None), (5, ""), (6, "nothing"), (6, "nothing")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = b"k"
+    got = {(r["doc_id"], r["text"], tuple(map(tuple, r["pii"] or ()))) for r in pii.pseudonymise(docs, key).collect()}
+    assert got == {(i, *((None, ()) if t is None else (pii.mask(t, key)[0], tuple(pii.mask(t, key)[1])))) for i, t in rows}
+    for _, t in rows[:4]:
+        assert pii.mask(pii.mask(t, key)[0], key, back=True)[0] == t
+    dates = re.findall(r"[0-9-]{10}|[0-9/]{10}", pii.mask(rows[1][1], key)[0])
+    y, m, d = dates[0].split("-")
+    assert dates[1] == f"{d}/{m}/{y}" and dates[0] != "2001-03-04"
+    y, m, d = dates[3].split("-")
+    assert dates[2] == f"{m}/{d}/{y}"
+    phones = re.findall(r"743|[0-9]{3}[ )-]+[0-9]{3}-[0-9]{4}", pii.mask(rows[2][1], key)[0])
+    assert len({re.sub("[^0-9]", "", p) for p in phones}) == 1
+    assert pii.mask(rows[3][1], key)[0].startswith(rows[3][1][:11]) and len(pii.mask(rows[3][1], key)[1]) == 1
+    empty = pii.pseudonymise(docs.limit(0), key)
+    assert empty.count() == 0 and empty.columns == ["doc_id", "text", "pii"]
+
+
+def test_digest_of_stored_parts_in_any_order(spark):
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"turn {t} of {c} " * 5) for c in range(5) for t in range(8)]
+    parts = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), part_chars=200).cache()
+    want = sorted(map(tuple, chat.digest(parts).collect()))
+    assert parts.count() > 5 and sorted(map(tuple, chat.digest(parts.orderBy(F.desc("part"))).collect())) == want
+    assert chat.digest(chat.format_chat(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+@pytest.mark.parametrize("n_words", [20, 40, 80])
+def test_decontamination_reaches_its_recall(n_words):
+    """200 items a length with as many random edits as are allowed, found by the index itself."""
+    rng, np_rng = random.Random(n_words), np.random.RandomState(1)
+    items = [(i, " ".join("".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randrange(2, 9))) for _ in range(n_words))) for i in range(200)]
+    index = decontam.build(items, 0.06, 0.97, 8, 6)
+    found = 0
+    for i, text in items:
+        x = decontam.normal(text)
+        y = decontam.edited(x, decontam.allowed_edits(len(x), 0.06) * 9 // 10, np_rng)
+        doc = np.concatenate([decontam.normal("some words before it "), [np.uint32(32)], y, [np.uint32(32)], decontam.normal("and after")]).astype(np.uint32)
+        found += any(index.ids[k] == i for _, k, _, _ in decontam._search(doc, np.array([0, len(doc)]), index))
+    assert found >= 180
+
+
+def test_decontamination_of_clashing_names_and_repeats(spark):
+    item = "the quick brown fox jumps over the lazy dog near the old river bank"
+    docs = spark.createDataFrame([(1, "x " + item + " y"), (1, "x " + item + " y"), (2, None), (3, ""), (4, "z" * 3000 + " " + item)], "edits long, text string")
+    bench = spark.createDataFrame([(7, item), (7, item), (8, None), (9, "")], "item_id long, text string")
+    got = decontam.find(docs, bench, id_col="edits")
+    assert got.columns == ["id_edits", "item_id", "edits", "item_chars", "end_char"]
+    assert sorted((r["id_edits"], r["item_id"], r["edits"]) for r in got.collect()) == [(1, 7, 0)] * 4 + [(4, 7, 0)] * 2
