@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm import decontam, jaccard, langid, mixing, pii
 from folioscope.llm.common import Stages, prepare, sized, table
-from folioscope.llm.queries import PII_KEY
+from folioscope.llm.queries import pii_key
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -72,7 +72,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal values; n_chars follows the text, and stays null where it is. All rows stay, null texts as they are."""
-    out = pii.pseudonymise(docs.select(*COLUMNS), PII_KEY, spans=None)
+    out = pii.pseudonymise(docs.select(*COLUMNS), pii_key(spark), spans=None)
     return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))).select(*COLUMNS)
 
 
