@@ -22,6 +22,8 @@ from .common import mix, prepare
 
 Q = 12
 BITMAP_BITS = 22
+#: A walk tells so many codes apart.
+CODES = 256
 
 
 @functools.cache
@@ -77,7 +79,7 @@ class Class(NamedTuple):
     length: int  # of the windows: the shortest item's
     reach: int  # from a start, the farthest an item with its edits goes
     hits: int  # q-grams that a window has in common with an item at least
-    bits: np.ndarray  # walks x steps x codes: whether the walk moves on
+    bits: np.ndarray  # walks x steps x codes modulo CODES, packed: whether the walk moves on
     picks: np.ndarray  # walks x steps x signatures: whether the step is sampled
     sigs: list[np.ndarray]  # by signature, sorted
     items: list[np.ndarray]  # by signature, the item of each
@@ -99,14 +101,15 @@ def allowed_edits(length: int, tolerance: float) -> int:
 
 def embed(x: np.ndarray, start: np.ndarray, stop: np.ndarray, bits: np.ndarray, picks: np.ndarray) -> np.ndarray:
     """Signatures (windows x signatures) of one walk over the windows [start, stop) of x; past stop all codes are 0."""
-    at, last = start.astype(np.int64), len(x) - 1
+    at, last, low = start.astype(np.int64), len(x) - 1, np.uint32(CODES - 1)
+    moves = np.unpackbits(bits, axis=1).astype(np.int64)
     sig = np.zeros((picks.shape[1], len(at)), np.uint64)
     sampled = [np.flatnonzero(p) for p in picks]
     for step in range(len(bits)):
-        code = x[np.minimum(at, last)] * (at < stop)
+        code = x[np.minimum(at, last)] * (at < stop).astype(x.dtype)
         for s in sampled[step]:
             sig[s] = sig[s] * np.uint64(0x100000001B3) + code + np.uint64(1)
-        at += bits[step][code & 1023]
+        at += moves[step][code & low]
     return mix(sig).T
 
 
@@ -136,8 +139,9 @@ def _walks(length: int, own: list[np.ndarray], edits: list[int], target_recall:
     start = [np.concatenate([[0], np.cumsum([len(y) for y in x])]) for x in (tried, after)]
     missed, all_bits, all_picks, steps = np.ones(trials, bool), [], [], 2 * length
     while len(all_bits) < most_walks and (missed.mean() > 1 - target_recall or not all_bits):
-        bits = rng.randint(0, 2, (steps, 1024)).astype(np.int64)
+        bits = rng.randint(0, 2, (steps, CODES), np.uint8)
         bits[:, 0] = 1
+        bits = np.packbits(bits, axis=1)
         picks = np.zeros((steps, per_walk), bool)
         for s in range(per_walk):
             picks[rng.choice(steps, min(sampled, steps), replace=False), s] = True
