@@ -100,16 +100,22 @@ def allowed_edits(length: int, tolerance: float) -> int:
 
 
 def embed(x: np.ndarray, start: np.ndarray, stop: np.ndarray, bits: np.ndarray, picks: np.ndarray) -> np.ndarray:
-    """Signatures (windows x signatures) of one walk over the windows [start, stop) of x; past stop all codes are 0."""
-    at, last, low = start.astype(np.int64), len(x) - 1, np.uint32(CODES - 1)
-    moves = np.unpackbits(bits, axis=1).astype(np.int64)
-    sig = np.zeros((picks.shape[1], len(at)), np.uint64)
-    sampled = [np.flatnonzero(p) for p in picks]
-    for step in range(len(bits)):
-        code = x[np.minimum(at, last)] * (at < stop).astype(x.dtype)
-        for s in sampled[step]:
-            sig[s] = sig[s] * np.uint64(0x100000001B3) + code + np.uint64(1)
-        at += moves[step][code & low]
+    """Signatures (windows x walks * signatures) of all walks over the windows [start, stop) of x; past stop all codes are 0."""
+    walks, steps, per_walk = picks.shape
+    n, last, low = len(start), len(x) - 1, CODES - 1
+    moves = np.unpackbits(bits, axis=2).transpose(1, 0, 2).astype(np.int64).reshape(steps, walks * CODES)
+    at, stop, row = np.tile(start.astype(np.int64), walks), np.tile(stop, walks), np.repeat(np.arange(walks) * CODES, n)
+    sig = np.zeros((walks * per_walk, n), np.uint64)
+    step_of, walk_of, sig_of = np.nonzero(picks.transpose(1, 0, 2))
+    cuts = np.searchsorted(step_of, np.arange(steps + 1))
+    place = walk_of * per_walk + sig_of
+    for step in range(int(step_of[-1]) + 1):
+        code = np.where(at < stop, x[np.minimum(at, last)], 0).astype(np.int64)
+        lo, hi = cuts[step], cuts[step + 1]
+        if hi > lo:
+            own = place[lo:hi]
+            sig[own] = sig[own] * np.uint64(0x100000001B3) + code.reshape(walks, n)[walk_of[lo:hi]].astype(np.uint64) + np.uint64(1)
+        at += moves[step][row + (code & low)]
     return mix(sig).T
 
 
@@ -145,7 +151,7 @@ def _walks(length: int, own: list[np.ndarray], edits: list[int], target_recall:
         picks = np.zeros((steps, per_walk), bool)
         for s in range(per_walk):
             picks[rng.choice(steps, min(sampled, steps), replace=False), s] = True
-        a, b = (embed(x, at[:-1], np.minimum(at[:-1] + length, at[1:]), bits, picks) for x, at in zip(flat, start, strict=True))
+        a, b = (embed(x, at[:-1], np.minimum(at[:-1] + length, at[1:]), bits[None], picks[None]) for x, at in zip(flat, start, strict=True))
         missed &= (a != b).all(1)
         all_bits.append(bits)
         all_picks.append(picks)
@@ -172,7 +178,7 @@ def build(items: list[tuple[int, str | None]], tolerance: float, target_recall:
         bits, picks = _walks(length, [codes[i] for i in own], [edits[i] for i in own], target_recall, per_walk, sampled, most_walks, rng)
         flat = np.concatenate([codes[i] for i in own])
         start = np.concatenate([[0], np.cumsum([len(codes[i]) for i in own])])[:-1]
-        got = np.concatenate([embed(flat, start, start + length, bits[w], picks[w]) for w in range(len(bits))], axis=1)
+        got = embed(flat, start, start + length, bits, picks)
         by = [np.argsort(got[:, s], kind="stable") for s in range(got.shape[1])]
         most = max(edits[i] for i in own)
         classes.append(Class(
@@ -185,6 +191,12 @@ def build(items: list[tuple[int, str | None]], tolerance: float, target_recall:
 def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """Least edit distance of item to any stretch of text and where the first such stretch ends, bit-parallel."""
     m = len(item)
+    whole, width, at = text.tobytes(), text.itemsize, -1
+    if item.dtype == text.dtype:
+        wanted = item.tobytes()
+        while (at := whole.find(wanted, at + 1)) >= 0:  # the item as it is
+            if at % width == 0:
+                return 0, at // width + m
     peq: dict[int, int] = {}
     for i, c in enumerate(item.tolist()):
         peq[c] = peq.get(c, 0) | 1 << i
@@ -228,7 +240,7 @@ def _search(x: np.ndarray, cuts: np.ndarray, index: Index) -> Iterator[tuple[int
         stop = np.minimum(p + c.length, cuts[row + 1])
         for block in range(0, len(p), 20_000):
             own, ends = p[block : block + 20_000], stop[block : block + 20_000]
-            sig = np.concatenate([embed(x, own, ends, c.bits[w], c.picks[w]) for w in range(len(c.bits))], axis=1)
+            sig = embed(x, own, ends, c.bits, c.picks)
             for s in range(sig.shape[1]):
                 lo, hi = np.searchsorted(c.sigs[s], sig[:, s], "left"), np.searchsorted(c.sigs[s], sig[:, s], "right")
                 for k in np.flatnonzero(hi > lo):
