@@ -89,7 +89,7 @@ class Index(NamedTuple):
     ids: list[int]
     codes: list[np.ndarray]
     edits: list[int]
-    bitmap: np.ndarray
+    bitmap: np.ndarray  # by hash of a q-gram, a bit for each class (modulo 8) whose items have it
     classes: list[Class]
     longest: int
 
@@ -166,15 +166,15 @@ def build(items: list[tuple[int, str | None]], tolerance: float, target_recall:
             ids.append(i)
             codes.append(x)
     edits = [allowed_edits(len(x), tolerance) for x in codes]
-    bitmap = np.zeros(1 << BITMAP_BITS, bool)
-    for x in codes:
-        bitmap[_slot(q_hashes(x))] = True
+    bitmap = np.zeros(1 << BITMAP_BITS, np.uint8)
     order = sorted(range(len(ids)), key=lambda i: len(codes[i]))
     classes, rng = [], np.random.RandomState(seed)
     while order:
         length = len(codes[order[0]])
         own = [i for i in order if len(codes[i]) <= max(length + 4, length * 5 // 4)]
         order = order[len(own) :]
+        for i in own:
+            bitmap[_slot(q_hashes(codes[i]))] |= np.uint8(1 << len(classes) % 8)
         bits, picks = _walks(length, [codes[i] for i in own], [edits[i] for i in own], target_recall, per_walk, sampled, most_walks, rng)
         flat = np.concatenate([codes[i] for i in own])
         start = np.concatenate([[0], np.cumsum([len(codes[i]) for i in own])])[:-1]
@@ -223,15 +223,20 @@ def _search(x: np.ndarray, cuts: np.ndarray, index: Index) -> Iterator[tuple[int
     h = q_hashes(x)
     if not len(h):
         return
-    hit = index.bitmap[_slot(h)]
-    sums = np.concatenate([[0], np.cumsum(hit, dtype=np.int32)])
+    found = index.bitmap[_slot(h)]
     first = np.zeros(len(x), bool)
     first[1:] = (x[:-1] == 32) & (x[1:] != 32)
     first[cuts[:-1][cuts[:-1] < len(x)]] = True
-    first[: len(hit)][1:] |= hit[1:] & ~hit[:-1]
-    starts = np.flatnonzero(first)
+    words = first.copy()
     seen: set[tuple[int, int, int]] = set()
-    for c in index.classes:
+    for k, c in enumerate(index.classes):
+        hit = (found & np.uint8(1 << k % 8)) != 0
+        if not hit.any():
+            continue
+        sums = np.concatenate([[0], np.cumsum(hit, dtype=np.int32)])
+        first[:] = words
+        first[: len(hit)][1:] |= hit[1:] & ~hit[:-1]
+        starts = np.flatnonzero(first)
         upto = np.minimum(starts + c.reach, len(hit))
         p = starts[sums[upto] - sums[np.minimum(starts, len(hit))] >= c.hits]
         if not len(p):
@@ -243,9 +248,9 @@ def _search(x: np.ndarray, cuts: np.ndarray, index: Index) -> Iterator[tuple[int
             sig = embed(x, own, ends, c.bits, c.picks)
             for s in range(sig.shape[1]):
                 lo, hi = np.searchsorted(c.sigs[s], sig[:, s], "left"), np.searchsorted(c.sigs[s], sig[:, s], "right")
-                for k in np.flatnonzero(hi > lo):
-                    for i in c.items[s][lo[k] : hi[k]]:
-                        seen.add((int(row[block + k]), int(i), int(own[k])))
+                for w in np.flatnonzero(hi > lo):
+                    for i in c.items[s][lo[w] : hi[w]]:
+                        seen.add((int(row[block + w]), int(i), int(own[w])))
     done: dict[tuple[int, int], list[int]] = {}
     for r, i, at in sorted(seen):
         # the starts of one occurrence lie close together and share a check
