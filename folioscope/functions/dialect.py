@@ -4,9 +4,17 @@ from __future__ import annotations
 
 import re
 
+#: White space as Python's split() has it.
+SPACE = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: ASCII punctuation as a SQL expression; quote and backslash by number, since engines differ in their escapes.
+PUNCTUATION = "'!\"#$%&()*+,-./:;<=>?@[]^_`{{|}}~' || chr(39) || chr(92)"
+
 #: name -> (Spark, DuckDB); $1, $2, ... are the arguments.
 FORMS = {
     "TOKENS": ("filter(split(lower($1), '[^a-z0-9]+'), t -> t <> '')", "list_filter(regexp_split_to_array(lower($1), '[^a-z0-9]+'), lambda t: t <> '')"),
+    "WORDS": (f"filter(split(lower($1), '[{SPACE}]+'), t -> t <> '')", f"list_filter(regexp_split_to_array(lower($1), '[{SPACE}]+'), lambda t: t <> '')"),
+    "NO_ARTICLES": (f"array_join(filter(split($1, '[{SPACE}]+'), t -> t not in ('', 'a', 'an', 'the')), ' ')", f"array_to_string(list_filter(regexp_split_to_array($1, '[{SPACE}]+'), lambda t: t not in ('', 'a', 'an', 'the')), ' ')"),
+    "PLAIN": (f"translate(lower($1), {PUNCTUATION}, '')", f"translate(lower($1), {PUNCTUATION}, '')"),
     "RR": ("regexp_replace($1, $2, $3)", "regexp_replace($1, $2, $3, 'g')"),
     "DOT": ("round(aggregate(zip_with($1, $2, (x, y) -> cast(x AS DOUBLE) * y), cast(0 AS DOUBLE), (s, v) -> s + v), 6)", "round(list_dot_product($1::DOUBLE[], $2::DOUBLE[]), 6)"),
     "VADD": ("zip_with($1, $2, (x, y) -> cast(x AS DOUBLE) + y)", "list_transform(list_zip($1, $2), lambda z: z[1]::DOUBLE + z[2])"),
@@ -25,11 +33,9 @@ FORMS = {
     "REAL": ("cast($1 AS DOUBLE)", "($1)::DOUBLE"),
     "ORDERED": ("array_join(transform(array_sort(collect_list(struct($2 AS o, $1 AS v))), z -> z.v), $3)", "string_agg($1, $3 ORDER BY $2)"),
     "MATCHES": ("$1 rlike $2", "regexp_matches($1, $2)"),
-    "GROUP1": ("regexp_extract($1, $2, 1)", "regexp_extract($1, $2, 1)"),
     "IDIV": ("cast(floor(($1) / ($2)) AS BIGINT)", "(($1) // ($2))::BIGINT"),
     "LEV": ("levenshtein($1, $2)", "levenshtein($1, $2)"),
     "HAS": ("contains($1, $2)", "contains($1, $2)"),
-    "ANY_TRUE": ("bool_or($1)", "bool_or($1)"),
     "COUNT_OF": ("regexp_count($1, $2)", "len(regexp_extract_all($1, $2))"),
 }
 

@@ -10,7 +10,7 @@ _NORM = "trim(RR[RR[lower({0}); '[^a-z0-9]+'; ' ']; ' +'; ' '])"
 
 TEXTS: dict[str, str | tuple[str, str]] = {
     "answer_normalize": "SELECT id, sys, pred_n FROM {judged}",
-    "answer_normalize_plain": "SELECT id, trim(RR[RR[lower(trim(a)); '(^| )(a|an|the)( |$)'; ' ']; ' +'; ' ']) AS norm FROM {predictions}",
+    "answer_normalize_plain": "SELECT id, NO_ARTICLES[lower(a)] AS norm FROM {predictions}",
     "ocr_clean": r"SELECT doc_id, RR[RR[RR[RR[lower(text); PAT['[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]']; '']; PAT['[ \t]+']; ' ']; PAT['\n\n\n+']; chr(10) || chr(10)]; PAT['^[ \n]+|[ \n]+$']; ''] AS clean FROM {documents}",
     "entity_type": "SELECT p_partkey, CASE WHEN MATCHES[v; '^[0-9.,]+$'] THEN 'Value' WHEN MATCHES[v; '^[A-Z][^ ]*( [A-Z][^ ]*)+$'] THEN 'Entity' ELSE 'Thing' END AS kind, MATCHES[v; '[0-9]'] AND length(v) < 50 AS literal FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN TEXT[p_partkey] ELSE 'Acme Part ' || TEXT[p_partkey] END AS v FROM {part}) x",
     "question_attributes": f"SELECT id, LONG[COUNT_OF[t; '[A-Za-z]+Q']] AS hops, CASE WHEN HAS[t; 'ImageQ'] AND HAS[t; 'TextQ'] THEN 'cross' WHEN HAS[t; 'TableQ'] AND HAS[t; 'TextQ'] THEN 'text+table' WHEN HAS[t; 'ImageQ'] THEN 'image' WHEN HAS[t; 'TableQ'] THEN 'table' ELSE 'text' END AS modality, CASE WHEN HAS[t; '('] THEN substr(t, 1, instr(t, '(') - 1) ELSE 'Single' END AS type_group FROM (SELECT id, {_TYPES} AS t FROM {{predictions}}) x",
@@ -51,7 +51,7 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "retrieval_diversity": "SELECT query_id, count(*) AS docs, round(REAL[max(n)] / sum(n), 6) AS largest_share FROM (SELECT query_id, doc_id, count(*) AS n FROM {ranked} WHERE pos <= 10 GROUP BY query_id, doc_id) d GROUP BY query_id",
     "oracle_sets": """SELECT cond, query_id, count(*) AS pages FROM (SELECT 'final' AS cond, query_id, chunk_id FROM {ranked} WHERE pos <= 10 UNION SELECT 'gold', query_id, chunk_id FROM {gold_pages} UNION SELECT 'gold_adjacent', query_id, PAGE_ID[doc_id; page + d] FROM {gold_pages} CROSS JOIN (SELECT -1 AS d UNION ALL SELECT 0 UNION ALL SELECT 1) w WHERE page + d >= 0
         UNION SELECT 'gold_prepended', query_id, chunk_id FROM {gold_pages} UNION SELECT 'gold_prepended', query_id, chunk_id FROM {ranked} WHERE pos <= 10) x GROUP BY cond, query_id""",
-    "oracle_context": "SELECT query_id, ORDERED[text; chunk_id; chr(10) || chr(10)] AS context FROM (SELECT g.query_id, c.chunk_id, c.text, sum(SIZE[TOKENS[c.text]] * REAL[1.3]) OVER (PARTITION BY g.query_id ORDER BY c.chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM {gold_pages} g JOIN {chunks} c ON c.chunk_id = g.chunk_id) x WHERE used <= 4500 GROUP BY query_id",
+    "oracle_context": "SELECT query_id, ORDERED[text; chunk_id; chr(10) || chr(10)] AS context FROM (SELECT g.query_id, c.chunk_id, c.text, sum(SIZE[WORDS[c.text]] * REAL[1.3]) OVER (PARTITION BY g.query_id ORDER BY c.chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM {gold_pages} g JOIN {chunks} c ON c.chunk_id = g.chunk_id) x WHERE used <= 4500 GROUP BY query_id",
     "reorder_priors": "SELECT query_id, chunk_id, LONG[row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)] AS by_base, LONG[row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN pos <= 10 OR base >= 0.2 THEN 0 ELSE 1 END, score DESC, chunk_id)] AS guarded, LONG[row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN pos <= 3 THEN 0 ELSE 1 END, page, chunk_id)] AS anchored FROM {base}",
     "plan_evidence_union": """SELECT query_id, chunk_id, sub FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY sub, pos) AS n FROM (SELECT query_id, chunk_id, 0 AS sub, pos FROM {bm25} WHERE pos <= 10 UNION ALL SELECT query_id, chunk_id, 1, pos FROM {dense} WHERE pos <= 10) u) r WHERE n = 1""",
     "visual_query_split": "SELECT sys, kind, count(*) AS n, round(avg(em), 6) AS em FROM (SELECT sys, em, CASE WHEN kind IN (2, 4) THEN 'visual' ELSE 'text' END AS kind FROM {judged}) j GROUP BY sys, ROLLUP (kind)",

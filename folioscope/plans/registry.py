@@ -12,7 +12,7 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "text_normalize": "SELECT doc_id, ord, trim(RR[RR[lower(text); '[^a-z0-9]+'; ' ']; ' +'; ' ']) AS norm FROM {blocks}",
     "mention_normalize": "SELECT id, trim(RR[RR[RR[lower(trim(a)); '^(the|a|an) '; '']; ' *[(].*?[)] *'; ' ']; ' +'; ' ']) AS mention FROM {predictions}",
     "unit_normalize": "SELECT item_id, trim(replace(replace(replace(replace('12,345 percent of 3 million dollars ' || TEXT[item_id], ',', ''), ' percent', '%'), ' million', 'M'), 'M dollars', '$M')) AS answer FROM {benchmark}",
-    "token_estimate": "SELECT chunk_id, LONG[floor(SIZE[TOKENS[text]] * REAL[1.3])] AS tokens, SIZE[TOKENS[text]] * REAL[1.3] AS exact, CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || '...' ELSE text END AS cut FROM {chunks}",
+    "token_estimate": "SELECT chunk_id, LONG[floor(SIZE[WORDS[text]] * REAL[1.3])] AS tokens, SIZE[WORDS[text]] * REAL[1.3] AS exact, CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || '...' ELSE text END AS cut FROM {chunks}",
     "think_strip": "SELECT item_id, CASE WHEN contains(t, '</think>') THEN trim(substr(t, instr(t, '</think>') + 8)) WHEN contains(t, '<think>') THEN '' ELSE trim(t) END AS answer FROM (SELECT item_id, CASE item_id % 3 WHEN 0 THEN '<think>plan</think> ' || substr(text, 1, 20) WHEN 1 THEN '<think>open ' || substr(text, 1, 20) ELSE substr(text, 1, 20) END AS t FROM {benchmark}) x",
     "block_typing": "SELECT doc_id, ord, page, block_type, role FROM {blocks}",
     "page_chunks": "SELECT chunk_id, doc_id, page, text, section FROM {chunks}",
@@ -34,8 +34,8 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "final_score": "SELECT b.query_id, b.chunk_id, round(b.base + coalesce(l.bonus, 0), 6) AS score FROM {base} b LEFT JOIN {local} l ON l.query_id = b.query_id AND l.chunk_id = b.chunk_id",
     "roles": """SELECT b.query_id, b.chunk_id, CASE WHEN max(CASE WHEN s.chunk_id = b.chunk_id THEN 1 ELSE 0 END) = 1 THEN 'seed' WHEN max(CASE WHEN abs(s.page - b.page) = 1 THEN 1 ELSE 0 END) = 1 THEN 'adjacent' ELSE 'other' END AS role
       FROM {base} b LEFT JOIN {seeds} s ON s.query_id = b.query_id AND s.doc_id = b.doc_id GROUP BY b.query_id, b.chunk_id""",
-    "flat_pack": "SELECT query_id, chunk_id, pos FROM (SELECT query_id, chunk_id, pos, sum(SIZE[TOKENS[text]] * REAL[1.3]) OVER (PARTITION BY query_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM {ranked} WHERE pos <= 10) p WHERE used <= 4500",
-    "page_only_pack": "SELECT query_id, chunk_id, pos FROM (SELECT query_id, chunk_id, pos, sum(SIZE[TOKENS[text]] * REAL[1.3]) OVER (PARTITION BY query_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM {ranked}) p WHERE used <= 4500",
+    "flat_pack": "SELECT query_id, chunk_id, pos FROM (SELECT query_id, chunk_id, pos, sum(SIZE[WORDS[text]] * REAL[1.3]) OVER (PARTITION BY query_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM {ranked} WHERE pos <= 10) p WHERE used <= 4500",
+    "page_only_pack": "SELECT query_id, chunk_id, pos FROM (SELECT query_id, chunk_id, pos, sum(SIZE[WORDS[text]] * REAL[1.3]) OVER (PARTITION BY query_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM {ranked}) p WHERE used <= 4500",
     "section_expand": "SELECT query_id, chunk_id, max(score) AS score FROM (SELECT r.query_id, c.chunk_id, round(0.7 * r.score, 6) AS score FROM {ranked} r JOIN {chunks} c ON c.doc_id = r.doc_id AND c.section = r.section WHERE r.pos <= 10 AND NOT EXISTS (SELECT 1 FROM {fused} f WHERE f.query_id = r.query_id AND f.chunk_id = c.chunk_id)) x GROUP BY query_id, chunk_id",
     "gold_page_match": "SELECT query_id, chunk_id FROM {gold_pages}",
     "retrieval_metrics": """SELECT k, round(avg(hit), 6) AS hit, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS mrr FROM (SELECT q.query_id, k.k, max(CASE WHEN r.pos <= k.k AND g.chunk_id IS NOT NULL THEN REAL[1] ELSE REAL[0] END) AS hit,
@@ -43,7 +43,7 @@ TEXTS: dict[str, str | tuple[str, str]] = {
         FROM {queries} q CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 3 UNION ALL SELECT 5 UNION ALL SELECT 10) k LEFT JOIN {ranked} r ON r.query_id = q.query_id LEFT JOIN {gold_pages} g ON g.query_id = r.query_id AND g.chunk_id = r.chunk_id
         LEFT JOIN (SELECT query_id, count(*) AS n FROM {gold_pages} GROUP BY query_id) n ON n.query_id = q.query_id GROUP BY q.query_id, k.k) m GROUP BY k""",
     "rank_diagnosis": "SELECT g.query_id, min(b.pos) AS bm25_rank, min(d.pos) AS dense_rank, min(r.pos) AS fused_rank FROM {gold_pages} g LEFT JOIN {bm25} b ON b.query_id = g.query_id AND b.chunk_id = g.chunk_id LEFT JOIN {dense} d ON d.query_id = g.query_id AND d.chunk_id = g.chunk_id LEFT JOIN {ranked} r ON r.query_id = g.query_id AND r.chunk_id = g.chunk_id GROUP BY g.query_id",
-    "page_cap_sweep": "SELECT cap, count(*) AS pages, round(REAL[sum(SIZE[TOKENS[text]])] / count(*), 3) AS words, count(g.chunk_id) AS gold FROM {ranked} r JOIN (SELECT 1 AS cap UNION ALL SELECT 2 UNION ALL SELECT 4 UNION ALL SELECT 8) c ON r.pos <= c.cap LEFT JOIN {gold_pages} g ON g.query_id = r.query_id AND g.chunk_id = r.chunk_id GROUP BY cap",
+    "page_cap_sweep": "SELECT cap, count(*) AS pages, round(REAL[sum(SIZE[WORDS[text]])] / count(*), 3) AS words, count(g.chunk_id) AS gold FROM {ranked} r JOIN (SELECT 1 AS cap UNION ALL SELECT 2 UNION ALL SELECT 4 UNION ALL SELECT 8) c ON r.pos <= c.cap LEFT JOIN {gold_pages} g ON g.query_id = r.query_id AND g.chunk_id = r.chunk_id GROUP BY cap",
     "predicate_canonical": f"SELECT id, predicate, CASE predicate {_ALIAS} ELSE predicate END AS canonical FROM {{assertions}}",
     "kg_edges": "SELECT src, dst, kind FROM {edges}",
     "grounded_page_counts": "SELECT entity, doc_id, page, count(*) AS n FROM (SELECT a.subject AS entity, s.doc_id, s.page FROM {assertions} a JOIN {supports} s ON s.id = a.id UNION ALL SELECT a.object, s.doc_id, s.page FROM {assertions} a JOIN {supports} s ON s.id = a.id) x GROUP BY entity, doc_id, page",
@@ -68,4 +68,4 @@ TEXTS: dict[str, str | tuple[str, str]] = {
 TEXTS |= expansion.TEXTS
 
 QUERIES = {name: stages.query(sql) for name, sql in TEXTS.items()} | folds.QUERIES
-SQL = {name: stages.oracle(sql) for name, sql in TEXTS.items()}
+SQL = {name: stages.oracle(sql) for name, sql in TEXTS.items()} | folds.SQL

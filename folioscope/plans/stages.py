@@ -17,7 +17,7 @@ from folioscope.sources.staging import stage_once
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 #: Stages whose rows several readers need: written once to the shared checkpoint folder, which also keeps plans short.
-KEPT = {"blocks", "chunks", "tok", "tf", "term_stats", "bm25_all", "bm25", "dense", "fused", "qvec", "pvec", "edges", "gold_pages", "ranked", "base", "seeds", "alias_hits", "vec", "patches", "alias_pages", "outside", "local"}
+KEPT = {"blocks", "chunks", "tok", "tf", "postings", "term_stats", "bm25_all", "bm25", "dense", "fused", "qvec", "pvec", "edges", "gold_pages", "ranked", "base", "seeds", "alias_hits", "vec", "patches", "alias_pages", "outside", "local"}
 
 _LINES = (
     "SELECT doc_id, lang, cast(pos AS BIGINT) AS ord, trim(col) AS text FROM {documents} LATERAL VIEW posexplode(split(text, '\\n')) AS pos, col",
@@ -27,6 +27,14 @@ _TOK = (
     "SELECT chunk_id, col AS term FROM {chunks} LATERAL VIEW explode(TOKENS[text]) AS col",
     "SELECT chunk_id, unnest(TOKENS[text]) AS term FROM {chunks}",
 )
+_WORD = (
+    "SELECT chunk_id, col AS term FROM {chunks} LATERAL VIEW explode(WORDS[text]) AS col",
+    "SELECT chunk_id, unnest(WORDS[text]) AS term FROM {chunks}",
+)
+_QWORD = (
+    "SELECT query_id, col AS term FROM {queries} LATERAL VIEW explode(words) AS col",
+    "SELECT query_id, unnest(words) AS term FROM {queries}",
+)
 _QTOK = (
     "SELECT query_id, col AS term FROM {queries} LATERAL VIEW explode(terms) AS col",
     "SELECT query_id, unnest(terms) AS term FROM {queries}",
@@ -42,18 +50,22 @@ STAGES: dict[str, str | tuple[str, str]] = {
     # H5
     "chunks": """SELECT chunk_id, doc_id, page, text, section FROM (SELECT PAGE_ID[doc_id; page] AS chunk_id, doc_id, page, ORDERED[text; ord; chr(10)] AS text,
         min(CASE WHEN block_type IN ('Title', 'Header') THEN ord END) AS section FROM {blocks} GROUP BY doc_id, page) c WHERE length(text) >= 20""",
-    "queries": "SELECT item_id AS query_id, lower(text) AS question, FIRST_N[TOKENS[text]; 12] AS terms FROM {benchmark}",
+    "queries": "SELECT item_id AS query_id, lower(text) AS question, TOKENS[text] AS terms, WORDS[text] AS words FROM {benchmark}",
     "tok": _TOK,
     "tf": "SELECT chunk_id, term, count(*) AS tf FROM {tok} GROUP BY chunk_id, term",
-    "lens": "SELECT chunk_id, sum(tf) AS dl FROM {tf} GROUP BY chunk_id",
+    # postings of the ranking are by white space alone
+    "word": _WORD,
+    "postings": "SELECT chunk_id, term, count(*) AS tf FROM {word} GROUP BY chunk_id, term",
+    "qword": _QWORD,
+    "lens": "SELECT chunk_id, sum(tf) AS dl FROM {postings} GROUP BY chunk_id",
     "corpus": "SELECT REAL[count(*)] AS n, REAL[sum(dl)] / count(*) AS avgdl FROM {lens}",
     # B1: idf with its floor, a quarter of the mean idf over the vocabulary
-    "term_stats": """SELECT term, df, CASE WHEN idf < 0 THEN 0.25 * mean ELSE idf END AS idf FROM (SELECT *, avg(idf) OVER () AS mean FROM
-        (SELECT term, df, round(ln(n - df + 0.5) - ln(df + 0.5), 9) AS idf FROM (SELECT term, count(*) AS df FROM {tf} GROUP BY term) d CROSS JOIN {corpus} c) i) j""",
+    "term_stats": """SELECT term, df, CASE WHEN idf < 0 THEN 0.25 * mean ELSE idf END AS idf FROM (SELECT i.*, m.mean FROM {raw_idf} i CROSS JOIN (SELECT avg(idf) AS mean FROM {raw_idf}) m) j""",
+    "raw_idf": """SELECT term, df, round(ln(n - df + 0.5) - ln(df + 0.5), 9) AS idf FROM (SELECT term, count(*) AS df FROM {postings} GROUP BY term) d CROSS JOIN {corpus} c""",
     "qtok": _QTOK,
     # B2, per query token with multiplicity
     "bm25_all": """SELECT q.query_id, t.chunk_id, round(sum(s.idf * t.tf * 2.5 / (t.tf + 1.5 * (0.25 + 0.75 * l.dl / c.avgdl))), 6) AS score
-      FROM {qtok} q JOIN {tf} t ON q.term = t.term JOIN {term_stats} s ON s.term = t.term JOIN {lens} l ON l.chunk_id = t.chunk_id CROSS JOIN {corpus} c GROUP BY q.query_id, t.chunk_id""",
+      FROM {qword} q JOIN {postings} t ON q.term = t.term JOIN {term_stats} s ON s.term = t.term JOIN {lens} l ON l.chunk_id = t.chunk_id CROSS JOIN {corpus} c GROUP BY q.query_id, t.chunk_id""",
     # Zero scores fill up in corpus order
     "first_chunks": "SELECT chunk_id FROM {chunks} ORDER BY chunk_id LIMIT 20",
     "bm25": """SELECT query_id, chunk_id, score, LONG[pos] AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS pos FROM
@@ -98,7 +110,7 @@ STAGES: dict[str, str | tuple[str, str]] = {
     # F2/E1/E2, ASCII punctuation and articles removed
     "judged": """SELECT id, hops, kind, sys, gold_n, pred_n, CASE WHEN gold_n = pred_n THEN 1 ELSE 0 END AS em,
         CASE WHEN greatest(length(gold_n), length(pred_n)) = 0 THEN 1.0 WHEN LEV[gold_n; pred_n] < 0.5 * greatest(length(gold_n), length(pred_n)) THEN round(1 - REAL[LEV[gold_n; pred_n]] / greatest(length(gold_n), length(pred_n)), 6) ELSE 0.0 END AS anls
-      FROM (SELECT id, hops, kind, sys, trim(RR[RR[translate(lower(gold), '!"#$%&()*+,-./:;<=>?@^_`|~', ''); '(^| )(a|an|the)( |$)'; ' ']; ' +'; ' ']) AS gold_n, trim(RR[RR[translate(lower(pred), '!"#$%&()*+,-./:;<=>?@^_`|~', ''); '(^| )(a|an|the)( |$)'; ' ']; ' +'; ' ']) AS pred_n
+      FROM (SELECT id, hops, kind, sys, NO_ARTICLES[PLAIN[gold]] AS gold_n, NO_ARTICLES[PLAIN[pred]] AS pred_n
         FROM (SELECT id, hops, kind, gold, 'a' AS sys, a AS pred FROM {predictions} UNION ALL SELECT id, hops, kind, gold, 'b', b FROM {predictions}) u) n""",
     # H1/H2: a heading's parent is the latest earlier heading of a smaller depth
     "headings": "SELECT doc_id, ord, text, CASE WHEN block_type = 'Title' THEN 0 ELSE least(dense_rank() OVER (PARTITION BY doc_id, block_type ORDER BY length(text) % 7 DESC) - 1, 4) + 1 END AS depth FROM {blocks} WHERE block_type IN ('Title', 'Header')",

@@ -10,7 +10,7 @@ from folioscope.functions.dialect import render
 from folioscope.plans import registry, stages
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["text_normalize", "unit_normalize", "think_strip", "page_chunks", "doc_card", "bm25_topk", "dense_topk", "hybrid_topk", "kg_edges", "qa_metrics", "breakdown", "agent_novelty", "ocr_clean", "heading_parent", "section_path", "alias_match", "qc_filter", "visual_filter", "number_extract", "visual_query_split"]
+QUICK = ["text_normalize", "unit_normalize", "think_strip", "page_chunks", "doc_card", "bm25_topk", "dense_topk", "hybrid_topk", "kg_edges", "qa_metrics", "breakdown", "agent_novelty", "ocr_clean", "heading_parent", "section_path", "alias_match", "qc_filter", "visual_filter", "number_extract", "visual_query_split", "token_estimate", "answer_normalize", "answer_normalize_plain", "bm25_term_stats", "paragraph_merge", "conditional_pack", "base_first_pack"]
 
 
 def rows(frame):
@@ -41,3 +41,37 @@ def test_top_k_is_limited_before_the_shuffle(spark, name):
     """In the plan of the ranking itself, which is staged: queries only read what it has written."""
     plan = stages.frame(spark, SF, stages.text_of(name, 0))._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_ranking_by_hand(spark, tmp_path):
+    """BM25 over three chunks: words are split by white space alone, and every word of a question counts, with multiplicity."""
+    import math
+
+    from folioscope.functions.dialect import render
+
+    chunks = {"a": "Cat, cat sat", "b": "dog-house sat sat", "c": "cat"}
+    question = "cat cat sat " + " ".join(f"w{i}" for i in range(20)) + " dog-house"
+    words = {k: t.lower().split() for k, t in chunks.items()}
+    df = {t: sum(t in w for w in words.values()) for w in words.values() for t in w}
+    idf = {t: math.log(3 - n + 0.5) - math.log(n + 0.5) for t, n in df.items()}
+    mean = sum(idf.values()) / len(idf)
+    idf = {t: 0.25 * mean if v < 0 else v for t, v in idf.items()}
+    length = sum(map(len, words.values())) / 3
+    want = {}
+    for k, w in words.items():
+        score = sum(idf[t] * w.count(t) * 2.5 / (w.count(t) + 1.5 * (0.25 + 0.75 * len(w) / length)) for t in question.split() if t in w)
+        want[k] = round(score, 5)
+    made = {"chunks": spark.createDataFrame(list(chunks.items()), "chunk_id string, text string")}
+    made["queries"] = spark.createDataFrame([(1, question)], "query_id long, text string").selectExpr("query_id", render("WORDS[text] AS words", 0))
+    for name in ("word", "postings", "lens", "corpus", "raw_idf", "term_stats", "qword", "bm25_all"):
+        made[name] = stages.frame(spark, "", stages.text_of(name, 0), made)
+    assert {r["chunk_id"]: round(r["score"], 5) for r in made["bm25_all"].collect()} == want
+
+
+def test_answers_by_hand(spark):
+    from folioscope.functions.dialect import render
+
+    rows = [("The a  Cat's [big] {house}\\ (an) apple!", "cats big house apple"), ("a an the", ""), ("Theatre of the absurd", "theatre of absurd"), ("x|y^z~`_", "xyz")]
+    sql = render("SELECT NO_ARTICLES[PLAIN[t]] AS n FROM {rows}", 0)
+    made = spark.createDataFrame([(t,) for t, _ in rows], "t string")
+    assert [r["n"] for r in spark.sql(sql, rows=made).collect()] == [w for _, w in rows]
