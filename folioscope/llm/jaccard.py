@@ -108,9 +108,9 @@ def sketches(docs: DataFrame, width: int = 5, parts: int = 24) -> DataFrame:
                 items = shingle_set(words, width)
                 sizes.append(len(items))
                 keys.append(set_key(items) if len(items) else None)
-                sketch = filter_sketch(items, sketch_bits(len(items)))
-                bits.append(sketch.tobytes() if len(items) else None)
-                short.append(_fold(sketch[None], min(len(sketch), SHORT)).tobytes() if len(items) else None)
+                sketch = filter_sketch(items, sketch_bits(len(items))) if len(items) else None
+                bits.append(None if sketch is None else sketch.tobytes())
+                short.append(None if sketch is None else _fold(sketch[None], min(len(sketch), SHORT)).tobytes())
                 sigs.append(part_signatures(items, parts))
             off = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
             flat = pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64))

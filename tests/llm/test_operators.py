@@ -378,3 +378,32 @@ def test_decontamination_of_clashing_names_and_repeats(spark):
     got = decontam.find(docs, bench, id_col="edits")
     assert got.columns == ["id_edits", "item_id", "edits", "item_chars", "end_char"]
     assert sorted((r["id_edits"], r["item_id"], r["edits"]) for r in got.collect()) == [(1, 7, 0)] * 4 + [(4, 7, 0)] * 2
+
+
+def test_schedule_keeps_every_stretch_in_proportion(spark, monkeypatch):
+    goals = spark.createDataFrame([("a", 600_000, 500_000.0), ("b", 300_000, 300_000.0), (None, 200_000, 200_000.0)], "source string, source_size long, target double")
+    order = [r["source"] for r in mixing.schedule(goals, 500).orderBy("slot").collect()]
+    assert len(order) == 500
+    for name, share in (("a", 0.5), ("b", 0.3), (None, 0.2)):
+        seen = 0
+        for n, x in enumerate(order, 1):
+            seen += x == name
+            assert abs(seen - share * n) < 4
+    docs = spark.createDataFrame([(i, "ab"[i % 2], "w " * 900) for i in range(60)], "doc_id long, source string, text string")
+    first = {r["doc_id"]: r["first_slot"] for r in mixing.mix_documents(docs).collect()}
+    monkeypatch.setattr(mixing, "GOLDEN", 0.7548776662466927)
+    assert {r["doc_id"]: r["first_slot"] for r in mixing.mix_documents(docs).collect()} != first
+
+
+def test_stage_near_duplicates_by_force(spark):
+    """What stays of copies, near copies, repeated ids and rows without an id."""
+    import corpus_pipeline
+
+    base = " ".join(f"w{i}" for i in range(60))
+    near, far = base.replace("w30", "x"), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, base), (2, near), (3, base.upper()), (4, far), (4, far), (5, None), (6, ""), (None, base), (None, "only here without an id at all"), (None, "only here without an id at all"), (None, None), (7, "short text")]
+    docs = spark.createDataFrame([(i, t, "en", None, 1, 9) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, component_id int")
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.columns == corpus_pipeline.COLUMNS
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in out.collect()) == sorted([("1", base), ("4", far), ("5", "None"), ("6", ""), ("None", "only here without an id at all"), ("None", "None"), ("7", "short text")])
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
