@@ -1,8 +1,8 @@
 """Media columns: local image descriptors find cropped or edited copies.
 
 Corners at several scales get binary descriptors turned to their own orientation. Descriptors meet in tables of bit
-sampled Hamming blocks, two neighbours at a time, and pairs of images with enough matches that agree on one rotation,
-scale and shift are copies.
+sampled Hamming blocks, two neighbours at a time with their bearings, and pairs of images with enough matches that agree
+on one rotation, scale and shift are copies.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from .common import Stages, mix, sized
 from .components import components
 
 BITS = 128
+GOLDEN = (5**0.5 - 1) / 2
 BLOCK = 256  # rows of a table of distances made at once
 PATCH = 8  # half the side of the square that a descriptor compares within
 
@@ -116,8 +117,8 @@ def _tests() -> np.ndarray:
     return np.clip(rng.normal(0, PATCH / 2.2, (BITS, 2, 2)), -PATCH + 1, PATCH - 1)
 
 
-def keypoints(grey: np.ndarray, scales: tuple[float, ...] = (1, 1.5, 2.25), quality: float = 0.02) -> list[tuple[float, float, float, bytes]]:
-    """(x, y, scale, descriptor) of all corners of each scale whose strength passes the quality, in pixels of the image."""
+def keypoints(grey: np.ndarray, scales: tuple[float, ...] = (1, 1.5, 2.25), quality: float = 0.02) -> list[tuple[float, float, float, float, bytes]]:
+    """(x, y, scale, angle, descriptor) of all corners of each scale whose strength passes the quality, in pixels of the image."""
     out = []
     for scale in scales:
         img = _blur(grey.astype(float) if scale == 1 else _shrink(_blur(grey.astype(float)), scale))
@@ -141,19 +142,19 @@ def keypoints(grey: np.ndarray, scales: tuple[float, ...] = (1, 1.5, 2.25), qual
         u, v = np.cos(angle) * px - np.sin(angle) * py, np.sin(angle) * px + np.cos(angle) * py
         values = _sample(img, np.clip(ys + v, 0, h - 1), np.clip(xs + u, 0, w - 1))
         bits = np.packbits(values[..., 0] < values[..., 1], axis=1)
-        out += [((x + 0.5) * scale, (y + 0.5) * scale, scale, d.tobytes()) for y, x, d in zip(ys.ravel(), xs.ravel(), bits, strict=True)]
+        out += [((x + 0.5) * scale, (y + 0.5) * scale, scale, t, d.tobytes()) for y, x, t, d in zip(ys.ravel(), xs.ravel(), angle.ravel(), bits, strict=True)]
     return out
 
 
 #: A keypoint in a column of packed points.
-POINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("scale", "<f4"), ("bits", "u1", BITS // 8)])
+POINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("scale", "<f4"), ("angle", "<f4"), ("bits", "u1", BITS // 8)])
 
 
-def pack(points: list[tuple[float, float, float, bytes]]) -> bytes:
+def pack(points: list[tuple[float, float, float, float, bytes]]) -> bytes:
     """Keypoints as the bytes of a POINT array."""
     out = np.zeros(len(points), POINT)
-    for k, (x, y, scale, bits) in enumerate(points):
-        out[k] = x, y, scale, np.frombuffer(bits, np.uint8)
+    for k, (x, y, scale, angle, bits) in enumerate(points):
+        out[k] = x, y, scale, angle, np.frombuffer(bits, np.uint8)
     return out.tobytes()
 
 
@@ -181,11 +182,13 @@ def _tables(n: int, width: int) -> np.ndarray:
     return np.array([rng.choice(BITS, width, replace=False) for _ in range(n)])
 
 
-def entries(points: np.ndarray, tables: int, width: int, near: int) -> np.ndarray:
-    """Table entries of an image: the sampled bits of a keypoint and of one of its `near` nearest neighbours of the same scale.
+def entries(points: np.ndarray, tables: int, width: int, near: int, sectors: int) -> np.ndarray:
+    """Table entries of an image: the sampled bits of a keypoint and of one of its `near` nearest neighbours of the same scale,
+    and for each of the two the sector, by its own orientation, in which the other lies.
 
     One descriptor alone is no good entry: the gradients around blobs look alike in unrelated images. Two side by side
-    rarely do, and copies and crops keep neighbours together.
+    that lie alike rarely do, and copies and crops keep neighbours together. Sectors begin elsewhere in each table, so
+    that a bearing at the border of one is within another.
     """
     if len(points) < 2:
         return np.zeros(0, np.int64)
@@ -201,8 +204,18 @@ def entries(points: np.ndarray, tables: int, width: int, near: int) -> np.ndarra
         fine = np.isfinite(away[i, j])
         pairs.append((at + i[fine], j[fine]))
     i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    shift = (np.arange(tables) * GOLDEN) % 1
+
+    def sector(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        bearing = np.arctan2(points["y"][b] - points["y"][a], points["x"][b] - points["x"][a]) - points["angle"][a]
+        return (np.floor(bearing[:, None] / (2 * np.pi) % 1 * sectors + shift) % sectors).astype(np.uint64)
+
     low, high = np.minimum(code[i], code[j]), np.maximum(code[i], code[j])
-    return np.unique(mix(mix(mix(low) ^ high) + np.arange(tables, dtype=np.uint64))).view(np.int64)
+    of_i, of_j = sector(i, j), sector(j, i)
+    # by the order of the codes; of equal codes by the sectors' own
+    turned = np.where(code[i] == code[j], of_i > of_j, code[i] > code[j])
+    lie = np.where(turned, of_j, of_i) * np.uint64(sectors) + np.where(turned, of_i, of_j)
+    return np.unique(mix(mix(mix(mix(low) ^ high) + lie) + np.arange(tables, dtype=np.uint64))).view(np.int64)
 
 
 def _nearest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -265,14 +278,14 @@ def consensus(a: np.ndarray, b: np.ndarray, max_bits: int = 20, tolerance: float
     return best if best >= needed else 0
 
 
-def copies(images: DataFrame, image: str = "image", id_col: str = "image_id", tables: int = 6, width: int = 44, near: int = 3, meet: int = 2, least: int = 6, stars: int = 3, **options) -> DataFrame:
+def copies(images: DataFrame, image: str = "image", id_col: str = "image_id", tables: int = 8, width: int = 44, near: int = 3, sectors: int = 12, least: int = 6, stars: int = 3, **options) -> DataFrame:
     """(id, image) -> (id, n_points, copy_id): groups of images that are copies, crops or edits of each other.
 
-    Images of equal pixels are one class; its smallest id stands for it. Classes are candidates if they have `meet` of
-    their table entries in common; candidates with `least` matches of one geometry link. First, up to `stars` times,
-    every class meets one class of each of its entries, the same one in all entries that have it: an entry of any size
-    costs its own length. Entries whose classes are all of one group are done; in the others, all pairs of classes of
-    different groups are candidates. copy_id is the smallest id reachable.
+    Images of equal pixels are one class; its smallest id stands for it. Classes are candidates if they have a table
+    entry in common; candidates with `least` matches of one geometry link. First, up to `stars` times, every class meets
+    one class of each of its entries, which is then done and leaves the entry: an entry of any size costs its own length.
+    Entries whose classes are all of one group are done; in the others, all pairs of classes of different groups that are
+    left are candidates. copy_id is the smallest id reachable.
 
     Null, broken and unsupported images have no points, link with nothing and are groups of their own. Repeated rows
     are one class, rows of one id are one image whose contents' links join, and rows with a null id link only with equal
@@ -286,7 +299,7 @@ def copies(images: DataFrame, image: str = "image", id_col: str = "image_id", ta
 
         def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                own = [entries(np.frombuffer(x.as_buffer(), POINT), tables, width, near) for x in batch.column(1)]
+                own = [entries(np.frombuffer(x.as_buffer(), POINT), tables, width, near, sectors) for x in batch.column(1)]
                 at = np.repeat(np.arange(len(own)), [len(x) for x in own])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.concatenate([np.zeros(0, np.int64), *own]))], names=schema.names)
 
@@ -299,13 +312,13 @@ def copies(images: DataFrame, image: str = "image", id_col: str = "image_id", ta
             drawn = F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(turn))).alias("lead")
             summed = named.groupBy("entry").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), drawn).where("lo != hi").select("entry", "lead")
             now = stages.keep(named.join(summed, "entry"))
-            shared = now.select("entry", "rep")
+            shared = now.where("rep != lead.rep").select("entry", "rep")
             if turn < stars:
                 both = now.where("comp != lead.comp").select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b"))
             else:
                 x, y = now.select("entry", F.col("rep").alias("a"), F.col("comp").alias("ca")), now.select("entry", F.col("rep").alias("b"), F.col("comp").alias("cb"))
                 both = x.join(y, "entry").where("a < b and ca != cb").select("a", "b")
-            pairs = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= meet).select("a", "b")
+            pairs = both.distinct()
             pairs = stages.keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
             tried = pairs if tried is None else tried.unionByName(pairs)
             new = stages.keep(_confirmed(pairs, known, least))
