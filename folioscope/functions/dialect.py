@@ -36,6 +36,10 @@ FORMS = {
     "IDIV": ("cast(floor(($1) / ($2)) AS BIGINT)", "(($1) // ($2))::BIGINT"),
     "LEV": ("levenshtein($1, $2)", "levenshtein($1, $2)"),
     "HAS": ("contains($1, $2)", "contains($1, $2)"),
+    "UWORDS": ("regexp_extract_all(lower($1), r'[\\p{{L}}\\p{{N}}_]+', 0)", "regexp_extract_all(lower($1), '[\\p{{L}}\\p{{N}}_]+')"),
+    "LISTED": ("collect_list($1)", "list($1)"),
+    "NO_STRINGS": ("slice($1, 1, 0)", "($1)[1:0]"),
+    "ELEMENT": ("try_element_at($1, $2)", "($1)[$2]"),
     "COUNT_OF": ("regexp_count($1, $2)", "len(regexp_extract_all($1, $2))"),
 }
 

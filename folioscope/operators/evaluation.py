@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -68,8 +68,13 @@ def bootstrap_ci(diffs: DataFrame, times: int = 10_000, seed: int = 42, level: f
     return diffs.agg(F.round(F.avg("diff"), 6).alias("mean")).crossJoin(made)
 
 
+def stars(p: Column) -> Column:
+    """Marks of significance at 0.001, 0.01 and 0.05."""
+    return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("(n.s.)")
+
+
 def approximate_randomization(diffs: DataFrame, times: int = 10_000, seed: int = 42) -> DataFrame:
-    """(diff) -> (delta, p): share of random swaps of the two systems whose mean difference is as large."""
+    """(diff) -> (delta, p, stars): share of random swaps of the two systems whose mean difference is as large."""
     delta = diffs.agg(F.abs(F.avg("diff")).alias("delta"))
     swaps = _replicates(diffs, times, seed, _swapped)
-    return swaps.crossJoin(delta).groupBy("delta").agg(F.avg((F.abs("value") >= F.col("delta") - 1e-12).cast("double")).alias("p"))
+    return swaps.crossJoin(delta).groupBy("delta").agg(F.avg((F.abs("value") >= F.col("delta") - 1e-12).cast("double")).alias("p")).withColumn("stars", stars(F.col("p")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import expansion, folds, stages
+from . import expansion, folds, parsing, stages
 
 #: Predicate aliases, alias then canonical name.
 PREDICATES = {"1_urgent": "urgent", "2_high": "high", "3_medium": "medium", "4_not_specified": "unspecified", "5_low": "low"}
@@ -65,7 +65,7 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "snippet_coverage": "SELECT r.query_id, r.chunk_id, round(REAL[COMMON[DISTINCT_OF[q.terms]; TOKENS[r.text]]] / SIZE[DISTINCT_OF[q.terms]], 6) AS coverage FROM {ranked} r JOIN {queries} q ON q.query_id = r.query_id WHERE SIZE[q.terms] > 0",
 }
 
-TEXTS |= expansion.TEXTS
+TEXTS |= expansion.TEXTS | parsing.TEXTS
 
 QUERIES = {name: stages.query(sql) for name, sql in TEXTS.items()} | folds.QUERIES
 SQL = {name: stages.oracle(sql) for name, sql in TEXTS.items()} | folds.SQL

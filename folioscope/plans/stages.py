@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from folioscope.functions.dialect import render
 from folioscope.sources.staging import stage_once
 
+from . import parsing
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 #: Stages whose rows several readers need: written once to the shared checkpoint folder, which also keeps plans short.
-KEPT = {"blocks", "chunks", "tok", "tf", "postings", "term_stats", "bm25_all", "bm25", "dense", "fused", "qvec", "pvec", "edges", "gold_pages", "ranked", "base", "seeds", "alias_hits", "vec", "patches", "alias_pages", "outside", "local"}
+KEPT = {"blocks", "chunks", "tok", "tf", "postings", "term_stats", "bm25_all", "bm25", "dense", "fused", "qvec", "pvec", "edges", "gold_pages", "ranked", "base", "seeds", "alias_hits", "vec", "patches", "alias_pages", "outside", "local", "walk_one"}
 
 _LINES = (
     "SELECT doc_id, lang, cast(pos AS BIGINT) AS ord, trim(col) AS text FROM {documents} LATERAL VIEW posexplode(split(text, '\\n')) AS pos, col",
@@ -147,7 +149,7 @@ STAGES: dict[str, str | tuple[str, str]] = {
     # Every third assertion is visual, every seventh is not grounded
     "claims": "SELECT id, subject, predicate, object, CASE WHEN id % 3 = 0 THEN 'visual' ELSE 'text' END AS modality, id % 7 <> 0 AS grounded, REAL[0.9] AS confidence FROM {assertions}",
     "claim_text": "SELECT s.id, ORDERED[p.p_name; s.line; ' '] AS source FROM (SELECT l_orderkey AS id, l_linenumber AS line, l_partkey FROM {lineitem}) s JOIN {part} p ON p.p_partkey = s.l_partkey WHERE s.id % 5 <> 0 GROUP BY s.id",
-}
+} | parsing.STAGES
 
 _REF = re.compile(r"\{(\w+)\}")
 

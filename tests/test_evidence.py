@@ -10,7 +10,7 @@ from folioscope.functions.dialect import render
 from folioscope.plans import registry, stages
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["text_normalize", "unit_normalize", "think_strip", "page_chunks", "doc_card", "bm25_topk", "dense_topk", "hybrid_topk", "kg_edges", "qa_metrics", "breakdown", "agent_novelty", "ocr_clean", "heading_parent", "section_path", "alias_match", "qc_filter", "visual_filter", "number_extract", "visual_query_split", "token_estimate", "answer_normalize", "answer_normalize_plain", "bm25_term_stats", "paragraph_merge", "conditional_pack", "base_first_pack"]
+QUICK = ["text_normalize", "unit_normalize", "think_strip", "page_chunks", "doc_card", "bm25_topk", "dense_topk", "hybrid_topk", "kg_edges", "qa_metrics", "breakdown", "agent_novelty", "ocr_clean", "heading_parent", "section_path", "alias_match", "qc_filter", "visual_filter", "number_extract", "visual_query_split", "token_estimate", "answer_normalize", "answer_normalize_plain", "bm25_term_stats", "paragraph_merge", "conditional_pack", "base_first_pack", "typed_walk", "walk_supports", "json_array", "triples", "section_path_slice", "query_novelty", "score_lookup"]
 
 
 def rows(frame):
