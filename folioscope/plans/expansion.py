@@ -7,6 +7,10 @@ GATES = (0.0, 0.05, 0.1, 0.2, 0.35)
 _GATES = " UNION ALL ".join(f"SELECT REAL[{g}] AS tau" for g in GATES)
 _TYPES = "CASE id % 6 WHEN 0 THEN 'TextQ' WHEN 1 THEN 'TableQ' WHEN 2 THEN 'ImageQ' WHEN 3 THEN 'Compose(TextQ,TableQ)' WHEN 4 THEN 'Compare(TextQ,ImageQ)' ELSE 'Intersect(TableQ,TextQ)' END"
 _NORM = "trim(RR[RR[lower({0}); '[^a-z0-9]+'; ' ']; ' +'; ' '])"
+ROLES = """SELECT b.query_id, b.chunk_id, CASE WHEN max(CASE WHEN s.chunk_id = b.chunk_id THEN 1 ELSE 0 END) = 1 THEN 'seed' WHEN max(CASE WHEN abs(s.page - b.page) = 1 THEN 1 ELSE 0 END) = 1 THEN 'adjacent' ELSE 'other' END AS role
+      FROM {base} b LEFT JOIN {seeds} s ON s.query_id = b.query_id AND s.doc_id = b.doc_id GROUP BY b.query_id, b.chunk_id"""
+PAGE_FUSION = """SELECT query_id, chunk_id, round((0.4 * t / nullif(mt, 0) + 0.35 * v / nullif(mv, 0)) / 0.75, 6) AS score FROM (SELECT *, max(t) OVER (PARTITION BY query_id) AS mt, max(v) OVER (PARTITION BY query_id) AS mv FROM
+        (SELECT coalesce(x.query_id, y.query_id) AS query_id, coalesce(x.chunk_id, y.chunk_id) AS chunk_id, coalesce(x.score, 0) AS t, coalesce(y.score, 0) AS v FROM {bm25} x FULL OUTER JOIN {dense} y ON x.query_id = y.query_id AND x.chunk_id = y.chunk_id) u) w"""
 
 TEXTS: dict[str, str | tuple[str, str]] = {
     "answer_normalize": "SELECT id, sys, pred_n FROM {judged}",
@@ -60,5 +64,8 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "evidence_summary": "SELECT query_id, ORDERED['- ' || substr(text, 1, 150); pos; chr(10)] AS summary FROM {ranked} WHERE pos <= 10 GROUP BY query_id",
     "all_at_k": """SELECT k, round(avg(CASE WHEN found >= n THEN REAL[1] ELSE REAL[0] END), 6) AS all_at_k FROM (SELECT q.query_id, k.k, max(coalesce(n.n, 0)) AS n, sum(CASE WHEN r.pos <= k.k AND g.chunk_id IS NOT NULL THEN 1 ELSE 0 END) AS found FROM {queries} q CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 5 UNION ALL SELECT 10) k
         LEFT JOIN {ranked} r ON r.query_id = q.query_id LEFT JOIN {gold_pages} g ON g.query_id = r.query_id AND g.chunk_id = r.chunk_id LEFT JOIN (SELECT query_id, count(*) AS n FROM {gold_pages} GROUP BY query_id) n ON n.query_id = q.query_id GROUP BY q.query_id, k.k) m GROUP BY k""",
+    # The fused pages up to the first one over the budget
+    "page_fusion_pack": f"""SELECT query_id, chunk_id, pos FROM (SELECT f.query_id, f.chunk_id, f.pos, sum(SIZE[WORDS[c.text]] * REAL[1.3]) OVER (PARTITION BY f.query_id ORDER BY f.pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used
+      FROM (SELECT query_id, chunk_id, LONG[row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)] AS pos FROM ({PAGE_FUSION}) g) f JOIN {{chunks}} c ON c.chunk_id = f.chunk_id WHERE f.pos <= 20) p WHERE used <= 4500""",
     "ablation_filter": "SELECT modality, grounded, count(*) AS n FROM {claims} GROUP BY modality, grounded",
 }

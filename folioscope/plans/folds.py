@@ -10,13 +10,31 @@ from pyspark.sql import DataFrame, SparkSession
 from folioscope.operators import evaluation, packing
 
 from . import stages
-from .expansion import TEXTS
+from .expansion import TEXTS, ROLES
 
 _CANDIDATES = f"""SELECT e.query_id, e.chunk_id, e.score, f.chunk_id IS NOT NULL AS in_base, LONG[floor(SIZE[WORDS[c.text]] * REAL[1.3])] AS tokens
   FROM ({TEXTS["expanded_final_score"]}) e JOIN {{chunks}} c ON c.chunk_id = e.chunk_id LEFT JOIN {{fused}} f ON f.query_id = e.query_id AND f.chunk_id = e.chunk_id"""
 _DIFFS = "SELECT x.anls - y.anls AS diff FROM {judged} x JOIN {judged} y ON x.id = y.id AND x.sys = 'a' AND y.sys = 'b'"
 _SECTIONED = "SELECT doc_id, page, ord, text, block_type, max(CASE WHEN block_type IN ('Title', 'Header') THEN ord END) OVER (PARTITION BY doc_id ORDER BY ord) AS section FROM {blocks}"
 
+# What a page gives by its role; heads and tails are the first and last two paragraphs
+_ROLE_PAGES = f"""SELECT r.query_id, r.chunk_id, c.doc_id, c.page, c.text, r.role FROM (SELECT query_id, chunk_id, role FROM ({ROLES}) o UNION ALL SELECT query_id, chunk_id, 'expanded' FROM {{outside}} WHERE sim >= 0.05) r JOIN {{chunks}} c ON c.chunk_id = r.chunk_id"""
+_SCORED = f"""SELECT *, count(nth) OVER w AS n, max(score) OVER w AS best FROM (SELECT r.query_id, r.chunk_id, r.role, p.nth, coalesce(p.text, r.text) AS text, coalesce(p.block_type, 'Page') AS block_type,
+    CASE WHEN p.nth IS NULL OR SIZE[q.terms] = 0 THEN REAL[0] ELSE REAL[COMMON[DISTINCT_OF[q.terms]; TOKENS[p.text]]] / SIZE[DISTINCT_OF[q.terms]] END AS score
+  FROM ({_ROLE_PAGES}) r JOIN {{queries}} q ON q.query_id = r.query_id LEFT JOIN {{paras}} p ON p.doc_id = r.doc_id AND p.page = r.page) s WINDOW w AS (PARTITION BY query_id, chunk_id)"""
+_PARTS = f"""SELECT *, CASE WHEN nth IS NULL THEN 'full' WHEN role = 'seed' THEN CASE WHEN score > 0 THEN 'core' WHEN nth >= n - 2 THEN 'tail' END
+    WHEN role = 'adjacent' THEN CASE WHEN nth < 2 THEN 'head' WHEN nth >= n - 2 THEN 'tail' WHEN score > 0 THEN 'core' END
+    WHEN score > 0 OR best = 0 AND nth < 2 THEN 'core' END AS part FROM ({_SCORED}) s"""
+_SNIPPETS = f"""SELECT query_id, chunk_id, LONG[row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY turn, score DESC, nth)] AS pos, role || '-' || part AS tag, block_type, text, score FROM
+    (SELECT query_id, chunk_id, role, nth, text, block_type, part, CASE WHEN part = 'core' THEN round(score, 6) ELSE REAL[0] END AS score,
+       CASE part WHEN 'head' THEN 0 WHEN 'tail' THEN 1 WHEN 'core' THEN CASE role WHEN 'adjacent' THEN 2 ELSE 0 END ELSE 0 END AS turn FROM ({_PARTS}) p WHERE part IS NOT NULL
+     UNION ALL SELECT query_id, chunk_id, role, nth, text, block_type, 'core', REAL[0], 2 FROM ({_PARTS}) p WHERE role = 'seed' AND best = 0 AND nth IS NOT NULL) x"""
+
+
+def role_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paragraphs that a page gives by its role: of seeds those that share words with the question and the last two, all if none does."""
+    return stages.frame(spark, sf_dir, _SNIPPETS, {"paras": paragraph_merge(spark, sf_dir)})
+
 
 def conditional_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.conditional_pack(stages.frame(spark, sf_dir, _CANDIDATES))
@@ -42,7 +60,7 @@ def approximate_randomization(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.approximate_randomization(stages.frame(spark, sf_dir, _DIFFS))
 
 
-QUERIES = {f.__name__: f for f in (conditional_pack, base_first_pack, paragraph_merge, rouge_l, bootstrap_ci, approximate_randomization)}
+QUERIES = {f.__name__: f for f in (conditional_pack, base_first_pack, paragraph_merge, role_snippets, rouge_l, bootstrap_ci, approximate_randomization)}
 
 #: The packing rule, offer by offer: phase 1 is the first 2k base pages, phase 2 the others, phase 3 the base again.
 _PACK_SQL = """
@@ -76,4 +94,5 @@ SQL = {
     "conditional_pack": _PACK_SQL.format(candidates=stages.oracle(_CANDIDATES), near=_NEAR),
     "base_first_pack": _PACK_SQL.format(candidates=stages.oracle(_CANDIDATES), near="true"),
     "paragraph_merge": _PARAGRAPH_SQL.format(blocks=stages.oracle(_SECTIONED)),
+    "role_snippets": stages.oracle(_SNIPPETS.replace("{paras}", "(" + _PARAGRAPH_SQL.format(blocks=stages.oracle(_SECTIONED)) + ")")),
 }

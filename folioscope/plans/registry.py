@@ -27,13 +27,11 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "dense_topk": "SELECT query_id, chunk_id, score, pos FROM {dense} WHERE pos <= 10",
     "dense_rescore": "SELECT b.query_id, b.chunk_id, DOT[q.v; p.v] AS sim FROM {bm25} b JOIN {qvec} q ON q.query_id = b.query_id JOIN {pvec} p ON p.chunk_id = b.chunk_id",
     "hybrid_topk": "SELECT query_id, chunk_id, score, pos FROM {ranked} WHERE pos <= 10",
-    "three_channel_fusion": """SELECT query_id, chunk_id, round((0.4 * t / nullif(mt, 0) + 0.35 * v / nullif(mv, 0)) / 0.75, 6) AS score FROM (SELECT *, max(t) OVER (PARTITION BY query_id) AS mt, max(v) OVER (PARTITION BY query_id) AS mv FROM
-        (SELECT coalesce(x.query_id, y.query_id) AS query_id, coalesce(x.chunk_id, y.chunk_id) AS chunk_id, coalesce(x.score, 0) AS t, coalesce(y.score, 0) AS v FROM {bm25} x FULL OUTER JOIN {dense} y ON x.query_id = y.query_id AND x.chunk_id = y.chunk_id) u) w""",
+    "three_channel_fusion": expansion.PAGE_FUSION,
     "minmax_seed_gate": "SELECT query_id, chunk_id, w FROM {seeds}",
     "local_bonus": "SELECT query_id, chunk_id, round(bonus, 6) AS bonus FROM {local}",
     "final_score": "SELECT b.query_id, b.chunk_id, round(b.base + coalesce(l.bonus, 0), 6) AS score FROM {base} b LEFT JOIN {local} l ON l.query_id = b.query_id AND l.chunk_id = b.chunk_id",
-    "roles": """SELECT b.query_id, b.chunk_id, CASE WHEN max(CASE WHEN s.chunk_id = b.chunk_id THEN 1 ELSE 0 END) = 1 THEN 'seed' WHEN max(CASE WHEN abs(s.page - b.page) = 1 THEN 1 ELSE 0 END) = 1 THEN 'adjacent' ELSE 'other' END AS role
-      FROM {base} b LEFT JOIN {seeds} s ON s.query_id = b.query_id AND s.doc_id = b.doc_id GROUP BY b.query_id, b.chunk_id""",
+    "roles": expansion.ROLES,
     "flat_pack": "SELECT query_id, chunk_id, pos FROM (SELECT query_id, chunk_id, pos, sum(SIZE[WORDS[text]] * REAL[1.3]) OVER (PARTITION BY query_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM {ranked} WHERE pos <= 10) p WHERE used <= 4500",
     "page_only_pack": "SELECT query_id, chunk_id, pos FROM (SELECT query_id, chunk_id, pos, sum(SIZE[WORDS[text]] * REAL[1.3]) OVER (PARTITION BY query_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM {ranked}) p WHERE used <= 4500",
     "section_expand": "SELECT query_id, chunk_id, max(score) AS score FROM (SELECT r.query_id, c.chunk_id, round(0.7 * r.score, 6) AS score FROM {ranked} r JOIN {chunks} c ON c.doc_id = r.doc_id AND c.section = r.section WHERE r.pos <= 10 AND NOT EXISTS (SELECT 1 FROM {fused} f WHERE f.query_id = r.query_id AND f.chunk_id = c.chunk_id)) x GROUP BY query_id, chunk_id",

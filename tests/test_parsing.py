@@ -42,3 +42,29 @@ def test_novelty_by_hand(spark):
     table = spark.createDataFrame([(1, 0, "user", "Ünder x"), (1, 1, "assistant", "q"), (1, 2, "user", "ünder y y"), (1, 4, "user", ""), (1, 6, "user", "x z")], "conv_id long, turn int, role string, text string")
     rows = made(spark, ["query_novelty"], {"conversations": table}).orderBy("turn").collect()
     assert [(r.jaccard_all, r.jaccard_prev, r.new_tokens) for r in rows] == [(0, 0, 1), (0.3333, 0.3333, 0.5), (0, 0, 0), (0.25, 0, 0.5)]
+
+
+def test_snippets_by_role(spark):
+    """Page 1 is the seed, 2 is beside it, 3 is another, 4 is expanded without a hit, 5 is another without paragraphs, 6 a seed without a hit."""
+    from folioscope.plans import folds
+
+    words = {1: ["x", "cat", "x", "dog cat", "x", "x"], 2: ["cat", "x", "dog", "x", "x", "dog"], 3: ["x", "cat", "x"], 4: ["x", "y", "z"], 5: [], 60: ["x", "y", "z"]}
+    t = {
+        "paras": spark.createDataFrame([(7, p, n, w, "Paragraph") for p, ws in words.items() for n, w in enumerate(ws)], "doc_id long, page long, nth long, text string, block_type string"),
+        "queries": spark.createDataFrame([(1, ["cat", "dog", "cat"])], "query_id long, terms array<string>"),
+        "chunks": spark.createDataFrame([(f"p{p}", 7, p, "whole") for p in words], "chunk_id string, doc_id long, page long, text string"),
+        "outside": spark.createDataFrame([(1, "p4", 0.5)], "query_id long, chunk_id string, sim double"),
+        "base": spark.createDataFrame([(1, f"p{p}", 7, p) for p in (1, 2, 3, 5, 60)], "query_id long, chunk_id string, doc_id long, page long"),
+        "seeds": spark.createDataFrame([(1, "p1", 7, 1), (1, "p60", 7, 60)], "query_id long, chunk_id string, doc_id long, page long"),
+    }
+    got: dict = {}
+    for r in stages.frame(spark, "", folds._SNIPPETS, t).orderBy("chunk_id", "pos").collect():
+        got.setdefault(r.chunk_id, []).append((r.tag, r.text, r.score))
+    assert got == {
+        "p1": [("seed-core", "dog cat", 1.0), ("seed-core", "cat", 0.5), ("seed-tail", "x", 0), ("seed-tail", "x", 0)],
+        "p2": [("adjacent-head", "cat", 0), ("adjacent-head", "x", 0), ("adjacent-tail", "x", 0), ("adjacent-tail", "dog", 0), ("adjacent-core", "dog", 0.5)],
+        "p3": [("other-core", "cat", 0.5)],
+        "p4": [("expanded-core", "x", 0), ("expanded-core", "y", 0)],
+        "p5": [("other-full", "whole", 0)],
+        "p60": [("seed-tail", "y", 0), ("seed-tail", "z", 0), ("seed-core", "x", 0), ("seed-core", "y", 0), ("seed-core", "z", 0)],
+    }
