@@ -218,6 +218,17 @@ def test_media_family_links_through_stars(spark):
     assert media.copies(spark.createDataFrame([], "image_id long, image binary")).count() == 0
 
 
+def test_media_family_costs_its_length(spark, monkeypatch):
+    tried, confirmed = [], media._confirmed
+    monkeypatch.setattr(media, "_confirmed", lambda pairs, *rest: tried.append(pairs.count()) or confirmed(pairs, *rest))
+    rng = np.random.RandomState(4)
+    a = picture(11)
+    rows = [(i, pgm(a + rng.normal(0, 2, a.shape))) for i in range(60)] + [(99, pgm(picture(12)))]
+    out = {r["image_id"]: r["copy_id"] for r in media.copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+    assert out == {**{i: 0 for i in range(60)}, 99: 99}
+    assert sum(tried) < 180  # of 1770 pairs
+
+
 def texture(seed, side=160):
     at = np.linspace(0, side // 8 - 0.001, side)
     return media._sample(np.random.RandomState(seed).rand(side // 8 + 1, side // 8 + 1) * 255, at[:, None] + 0 * at, at + 0 * at[:, None])
