@@ -281,6 +281,25 @@ def test_quality(spark):
     assert quality.fit(docs, labels.limit(0), usable=F.lit(True))["at"] == 0.0
 
 
+def test_quality_learns_from_all_pairs(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["Plain", "words", "of", "text.", "###", "$x|", "77", "so,", "\n"]) for _ in range(rng.randrange(1, 60)))) for i in range(150)]
+    known = {i: int(t.count("#") + t.count("$") + rng.randrange(6) < 8) for i, t in rows if i % 7}
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(known.items()), "doc_id long, quality int")
+    model = quality.fit(docs.repartition(3), labels, usable=F.lit(True))
+    x, y = quality.batch_features(pa.array([t for i, t in rows if i in known])), np.array(list(known.values()))
+    assert np.allclose(model["mean"], x.mean(0)) and np.allclose(model["scale"], x.std(0) + 1e-3)
+    z = (x - x.mean(0)) / (x.std(0) + 1e-3)
+    d = (z[y == 1][:, None] - z[y == 0]).reshape(-1, z.shape[1])
+    w = np.zeros(z.shape[1])
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-d @ w))
+        w += np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + 1e-3 * np.eye(len(w)), d.T @ (1 - p) / len(d) - 1e-3 * w)
+    assert np.abs(model["w"] - w).max() < 1e-6
+    s = z @ w
+    assert abs(model["at"] - np.quantile(s, (y == 0).mean())) < 1e-5 and abs(model["spread"] - s.std()) < 1e-5
+
+
 def test_components_of_a_path(spark):
     from folioscope.llm.common import Stages
     from folioscope.llm.components import components
