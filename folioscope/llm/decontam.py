@@ -24,6 +24,10 @@ Q = 12
 BITMAP_BITS = 22
 #: A walk tells so many codes apart.
 CODES = 256
+#: Places whose q-grams are hashed at once.
+PIECE = 1 << 17
+#: Signatures of windows made at once.
+SIGNATURES = 1 << 19
 
 
 @functools.cache
@@ -73,6 +77,14 @@ def _slot(h: np.ndarray) -> np.ndarray:
     return (mix(h) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
 
 
+def _marks(x: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """The bitmap's entry of the q-gram from each place on, piece by piece: hashes take eight bytes a place, several times over."""
+    out = np.zeros(max(0, len(x) - Q + 1), bitmap.dtype)
+    for at in range(0, len(out), PIECE):
+        out[at : at + PIECE] = bitmap[_slot(q_hashes(x[at : at + PIECE + Q - 1]))]
+    return out
+
+
 class Class(NamedTuple):
     """Items of about one length."""
 
@@ -103,7 +115,7 @@ def embed(x: np.ndarray, start: np.ndarray, stop: np.ndarray, bits: np.ndarray,
     """Signatures (windows x walks * signatures) of all walks over the windows [start, stop) of x; past stop all codes are 0."""
     walks, steps, per_walk = picks.shape
     n, last, low = len(start), len(x) - 1, CODES - 1
-    moves = np.unpackbits(bits, axis=2).transpose(1, 0, 2).astype(np.int64).reshape(steps, walks * CODES)
+    moves = np.unpackbits(bits, axis=2).transpose(1, 0, 2).reshape(steps, walks * CODES)
     at, stop, row = np.tile(start.astype(np.int64), walks), np.tile(stop, walks), np.repeat(np.arange(walks) * CODES, n)
     sig = np.zeros((walks * per_walk, n), np.uint64)
     step_of, walk_of, sig_of = np.nonzero(picks.transpose(1, 0, 2))
@@ -220,10 +232,9 @@ def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 def _search(x: np.ndarray, cuts: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, int]]:
     """(text, item, edits, end) of matches in texts joined in x, text i being x[cuts[i] : cuts[i + 1]]."""
-    h = q_hashes(x)
-    if not len(h):
+    found = _marks(x, index.bitmap)
+    if not len(found):
         return
-    found = index.bitmap[_slot(h)]
     first = np.zeros(len(x), bool)
     first[1:] = (x[:-1] == 32) & (x[1:] != 32)
     first[cuts[:-1][cuts[:-1] < len(x)]] = True
@@ -233,7 +244,8 @@ def _search(x: np.ndarray, cuts: np.ndarray, index: Index) -> Iterator[tuple[int
         hit = (found & np.uint8(1 << k % 8)) != 0
         if not hit.any():
             continue
-        sums = np.concatenate([[0], np.cumsum(hit, dtype=np.int32)])
+        sums = np.zeros(len(hit) + 1, np.int32)
+        np.cumsum(hit, dtype=np.int32, out=sums[1:])
         first[:] = words
         first[: len(hit)][1:] |= hit[1:] & ~hit[:-1]
         starts = np.flatnonzero(first)
@@ -243,8 +255,9 @@ def _search(x: np.ndarray, cuts: np.ndarray, index: Index) -> Iterator[tuple[int
             continue
         row = np.searchsorted(cuts, p, "right") - 1
         stop = np.minimum(p + c.length, cuts[row + 1])
-        for block in range(0, len(p), 20_000):
-            own, ends = p[block : block + 20_000], stop[block : block + 20_000]
+        size = max(1, SIGNATURES // len(c.sigs))
+        for block in range(0, len(p), size):
+            own, ends = p[block : block + size], stop[block : block + size]
             sig = embed(x, own, ends, c.bits, c.picks)
             for s in range(sig.shape[1]):
                 lo, hi = np.searchsorted(c.sigs[s], sig[:, s], "left"), np.searchsorted(c.sigs[s], sig[:, s], "right")
@@ -314,7 +327,7 @@ def _find_block(docs: DataFrame, text: str, id_col: str, index, schema: T.Struct
         idx: Index = index.value
         if not idx.ids:
             return
-        lap, size = 2 * idx.longest + 64, 1 << 22
+        lap, size = 2 * idx.longest + 64, 1 << 21
 
         def flush(rows: list[tuple[int, int, np.ndarray]], found: dict) -> None:
             """rows: (row, offset in its text, codes)."""

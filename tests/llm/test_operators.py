@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -401,6 +402,36 @@ def test_decontamination_reaches_its_recall(n_words):
     assert found >= 180
 
 
+def test_decontamination_takes_little_memory():
+    rng = random.Random(5)
+    vocab = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(3000)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(40))) for i in range(40)]
+    index = decontam.build(items, 0.06, 0.97, 8, 6)
+    text = " ".join(rng.choice(vocab) if i % 7000 else items[i // 7000][1] for i in range(7000, 260_000))
+    x = decontam.normal(text)
+    assert len(x) > 1_500_000
+    whole = index.bitmap[decontam._slot(decontam.q_hashes(x))]
+    tracemalloc.start()
+    found = list(decontam._search(x, np.array([0, len(x)]), index))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {index.ids[i] for _, i, _, _ in found} == set(range(1, 38)) and all(edits == 0 for _, _, edits, _ in found)
+    assert most < 24 * len(x)  # bytes a code; hashes of all places at once take 35
+    assert (decontam._marks(x, index.bitmap) == whole).all() and not len(decontam._marks(x[:5], index.bitmap))
+
+
+def test_batches_have_few_bytes(spark):
+    prepare(spark)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    texts = spark.range(24, numPartitions=1).select(F.repeat(F.lit("some words "), 100_000).alias("text"))
+    sent = [r["n"] for r in texts.mapInArrow(sizes, "n long").collect()]
+    assert sum(sent) > 24 * 1_100_000 and max(sent) < 7_000_000
+
+
 def test_decontamination_of_clashing_names_and_repeats(spark):
     item = "the quick brown fox jumps over the lazy dog near the old river bank"
     docs = spark.createDataFrame([(1, "x " + item + " y"), (1, "x " + item + " y"), (2, None), (3, ""), (4, "z" * 3000 + " " + item)], "edits long, text string")
