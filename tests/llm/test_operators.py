@@ -230,6 +230,24 @@ def test_media_family_costs_its_length(spark, monkeypatch):
     assert sum(tried) < 180  # of 1770 pairs
 
 
+def test_media_family_leaves_its_entries(spark, monkeypatch):
+    held, keep = [], media.Stages.keep
+
+    def counted(self, df):
+        out = keep(self, df)
+        if {"entry", "rep"} <= set(out.columns):
+            held.append(out.count())
+        return out
+
+    monkeypatch.setattr(media.Stages, "keep", counted)
+    rng = np.random.RandomState(4)
+    a = picture(11)
+    rows = [(i, pgm(a + rng.normal(0, 2, a.shape))) for i in range(60)] + [(99, pgm(picture(12)))]
+    out = {r["image_id"]: r["copy_id"] for r in media.copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+    assert out == {**{i: 0 for i in range(60)}, 99: 99}
+    assert sum(held) < 60 * 20  # one group of classes shares no entry with another
+
+
 def texture(seed, side=160):
     at = np.linspace(0, side // 8 - 0.001, side)
     return media._sample(np.random.RandomState(seed).rand(side // 8 + 1, side // 8 + 1) * 255, at[:, None] + 0 * at, at + 0 * at[:, None])
