@@ -75,3 +75,24 @@ def test_answers_by_hand(spark):
     sql = render("SELECT NO_ARTICLES[PLAIN[t]] AS n FROM {rows}", 0)
     made = spark.createDataFrame([(t,) for t, _ in rows], "t string")
     assert [r["n"] for r in spark.sql(sql, rows=made).collect()] == [w for _, w in rows]
+
+
+def test_capitals_are_one_character_for_one(spark, duck):
+    """In both engines; a sharp s has its own capital, and ligatures stay."""
+    from folioscope.functions.dialect import render
+
+    words = ["stra\u00dfe", "\u00e9t\u00e9 \ufb01n", "\u1f80\u1fb3\u1fb6 \u01f0 \u0149", "a\U0001f600b", ""]
+    want = [w for (w,) in duck.execute("SELECT upper(unnest(?))", [words]).fetchall()]
+    made = spark.createDataFrame([(w,) for w in words], "w string")
+    assert [r[0] for r in spark.sql(render("SELECT UPPER[w] AS u FROM {made}", 0), made=made).collect()] == want
+    assert want[0] == "STRA\u1e9eE"
+
+
+def test_edits_are_of_bytes(spark, duck):
+    from folioscope.functions.dialect import render
+
+    pairs = [("caf\u00e9", "cafe"), ("\u00fc\u00f6", "\u00f6\u00fc"), ("abc", "abd"), ("", "\u20ac")]
+    want = [duck.execute("SELECT levenshtein(?, ?)", p).fetchone()[0] for p in pairs]
+    made = spark.createDataFrame(pairs, "x string, y string")
+    assert [r[0] for r in spark.sql(render("SELECT LEV[x; y] AS n FROM {made}", 0), made=made).collect()] == want
+    assert want[0] == 2
