@@ -68,3 +68,37 @@ def test_stages_hold_no_texts(spark):
     wide = {n for n in stages.KEPT if {"text", "term"} & set(stages.make(spark, SF, n, {}).columns)}
     assert wide <= {"ranked", "base", "word_counts"}
     assert sum(stages.make(spark, SF, n, {}).count() for n in ("word_counts", "bm25")) < 5000
+
+
+def test_parts_grow_with_the_table(spark, tmp_path):
+    """A fixed number of shuffle parts would let one task's memory grow with the input."""
+    before = spark.conf.get(staging.PARTS, None)
+    path = tmp_path / "t.parquet"
+    with open(path, "wb") as f:
+        f.truncate(200 << 20)
+    try:
+        staging.deal(spark, str(path))
+        assert int(spark.conf.get(staging.PARTS)) >= 50
+    finally:
+        spark.conf.set(staging.PARTS, before) if before else spark.conf.unset(staging.PARTS)
+
+
+@pytest.mark.parametrize("name", ["kg_edges", "grounded_page_counts", "kg_neighborhood", "mention_collect", "visual_filter", "typed_walk", "walk_supports"])
+def test_graph_of_odd_rows(spark, tmp_path, name):
+    """Repeated lines, an order of two customers, null keys, orders without lines, customers below, at and above the length of a walk."""
+    import duckdb
+
+    from folioscope.plans import registry
+
+    orders = [(k, 1 + k % 3 if k < 60 else 4, f"{k % 5}-P") for k in range(64)] + [(100 + k, 5, "1-URGENT") for k in range(19)] + [(7, 2, "9-X"), (64, None, "1-P"), (65, 6, None), (66, -1, "2-P"), (None, 6, "2-P")]
+    lines = [(k, (k * 7 + j) % 11, k % 4, j) for k in range(130) for j in range(1, 1 + k % 4)] + [(3, 2, 1, 1), (3, 2, 1, 1), (64, None, 2, 1), (65, None, 3, 1), (66, 5, 3, 9), (None, 1, 1, 1)]
+    con = duckdb.connect()
+    con.execute("create table orders (o_orderkey bigint, o_custkey bigint, o_orderpriority varchar)")
+    con.execute("create table lineitem (l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int)")
+    con.executemany("insert into orders values (?, ?, ?)", orders)
+    con.executemany("insert into lineitem values (?, ?, ?, ?)", lines)
+    for t in ("orders", "lineitem"):
+        con.execute(f"copy {t} to '{tmp_path}/{t}.parquet'")
+    want = con.sql(registry.SQL[name])
+    got = registry.QUERIES[name](spark, str(tmp_path)).select(want.columns).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
